@@ -4,6 +4,7 @@ from cadenza.registry import base
 from cadenza.registry import tagging  # noqa: F401
 from cadenza.registry import songs  # noqa: F401
 from cadenza.registry import text  # noqa: F401
+from cadenza.registry import hygiene  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
