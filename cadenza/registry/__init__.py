@@ -5,6 +5,8 @@ from cadenza.registry import tagging  # noqa: F401
 from cadenza.registry import songs  # noqa: F401
 from cadenza.registry import text  # noqa: F401
 from cadenza.registry import hygiene  # noqa: F401
+from cadenza.registry import vectors  # noqa: F401
+from cadenza.registry import learning  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
