@@ -88,14 +88,57 @@ def wordpunct_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDPUNCT_PATTERN), 0)
 
 
+# A rule can only fire when one of these substrings is present; checking
+# them first (a fast substring search) skips most regex passes. Rules whose
+# only anchor is a character class have no guard.
+TREEBANK_GUARDS: dict[str, list[str]] = {
+    r'^"': ['"'],
+    r'([ (\[{<])"': ['"'],
+    r"(``)": ["``"],
+    r"([:,])([^0-9])": [":", ","],
+    r"\.\.\.": ["..."],
+    r"([^.])(\.)([\])}>\"']*)\s": ["."],
+    r"([?!])": ["?", "!"],
+    r"([^'])' ": ["' "],
+    r"--": ["--"],
+    r'"': ['"'],
+    r"([^' ])('s|'m|'d|') ": ["'"],
+    r"([^' ])('ll|'re|'ve|n't) ": ["'"],
+    r"\b(can)(not)\b": ["cannot"],
+    r"\b(gim|lem)(me)\b": ["gimme", "lemme"],
+    r"\b(gon|wan)(na)\b": ["gonna", "wanna"],
+    r"\b(got)(ta)\b": ["gotta"],
+}
+
+
+def _let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and apply ``fn`` to it (a one-element
+    ``transform`` binds it to a lambda variable), so a chain of rules that
+    each mention their input twice stays a linear expression tree."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def treebank_tokens(text: Column) -> Column:
     """Treebank-style tokens (splits punctuation and contractions)."""
     t = F.concat(F.lit(" "), text, F.lit(" "))
     for pattern, repl in TREEBANK_RULES:
-        t = F.regexp_replace(t, pattern, repl)
+        t = _let(t, _rule(pattern, repl, TREEBANK_GUARDS.get(pattern)))
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
+def _rule(pattern: str, repl: str, guards: list[str] | None):
+    def step(x: Column) -> Column:
+        replaced = F.regexp_replace(x, pattern, repl)
+        if not guards:
+            return replaced
+        cond = x.contains(guards[0])
+        for g in guards[1:]:
+            cond = cond | x.contains(g)
+        return F.when(cond, replaced).otherwise(x)
+
+    return step
+
+
 def whitespace_tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
@@ -116,8 +159,8 @@ def remove_terms(tokens: Column, remove_stop: bool = True, remove_punc: bool = T
     stop = (STOP_WORDS if remove_stop else []) + (PUNCTUATION if remove_punc else [])
     if not stop:
         return tokens
-    stop_arr = F.array(*[F.lit(s) for s in stop])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop_arr, t))
+    # IN over a literal list becomes a hash-set lookup (InSet)
+    return F.filter(tokens, lambda t: ~t.isin(stop))
 
 
 def pad_or_truncate(tokens: Column, cutoff) -> Column:

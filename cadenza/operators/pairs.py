@@ -16,26 +16,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _centres(docs: DataFrame, tokens: Column, doc_col: str) -> DataFrame:
-    return docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t")).select(
-        "doc_id", "_t", F.posexplode("_t").alias("pos", "centre"))
-
-
-def _window_positions(skip_window: int) -> Column:
+def _offsets(skip_window: int) -> Column:
     offs = [o for o in range(-skip_window, skip_window + 1) if o != 0]
     return F.array(*[F.lit(o) for o in offs])
 
 
+def _explode_pairs(docs: DataFrame, tokens: Column, doc_col: str, skip_window: int,
+                   choose) -> DataFrame:
+    """Build every document's (pos, centre, context) array in one expression
+    over its token array and explode it once. The token array is never
+    copied into the exploded rows (that would cost O(n^2) per document)."""
+    t = docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t"))
+    n = F.size("_t")
+
+    def per_centre(i):
+        cands = F.filter(F.transform(_offsets(skip_window), lambda o: i + o),
+                         lambda p: (p >= 0) & (p < n))
+        return F.transform(choose(i, cands), lambda p: F.struct(
+            i.alias("pos"), F.element_at("_t", i + 1).alias("centre"),
+            F.element_at("_t", p + 1).alias("context")))
+
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), per_centre))
+    return t.select("doc_id", F.explode(F.when(n > 0, pairs)).alias("p")).select(
+        "doc_id", F.col("p.pos").cast("int").alias("pos"), "p.centre", "p.context")
+
+
 def skipgram_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1,
                    doc_col: str = "doc_id") -> DataFrame:
     """All pairs within ``skip_window`` on both sides, inside each document.
     Output ``(doc_id, pos, centre, context)``."""
-    c = _centres(docs, tokens, doc_col)
-    ctx_pos = F.filter(F.transform(_window_positions(skip_window), lambda o: F.col("pos") + o),
-                       lambda p: (p >= 0) & (p < F.size("_t")))
-    e = c.select("doc_id", "pos", "centre", "_t", F.explode(ctx_pos).alias("cpos"))
-    return e.select("doc_id", "pos", "centre",
-                    F.element_at("_t", (F.col("cpos") + 1).cast("int")).alias("context"))
+    return _explode_pairs(docs, tokens, doc_col, skip_window, lambda i, cands: cands)
 
 
 def skipgram_sampled(docs: DataFrame, tokens: Column, skip_window: int = 1, num_skips: int = 2,
@@ -43,17 +53,14 @@ def skipgram_sampled(docs: DataFrame, tokens: Column, skip_window: int = 1, num_
     """``num_skips`` distinct neighbours per centre (seeded choice)."""
     if num_skips > 2 * skip_window:
         raise ValueError("num_skips must be <= 2 * skip_window")
-    c = _centres(docs, tokens, doc_col)
-    cands = F.filter(F.transform(_window_positions(skip_window), lambda o: F.col("pos") + o),
-                     lambda p: (p >= 0) & (p < F.size("_t")))
-    keyed = F.transform(cands, lambda p: F.struct(
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"),
-                          F.col("pos").cast("string"), p.cast("string"))).alias("k"),
-        p.alias("p")))
-    chosen = F.slice(F.array_sort(keyed), 1, num_skips)
-    e = c.select("doc_id", "pos", "centre", "_t", F.explode(chosen).alias("ch"))
-    return e.select("doc_id", "pos", "centre",
-                    F.element_at("_t", (F.col("ch.p") + 1).cast("int")).alias("context"))
+    def choose(i, cands):
+        keyed = F.transform(cands, lambda p: F.struct(
+            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"),
+                              i.cast("string"), p.cast("string"))).alias("k"),
+            p.alias("p")))
+        return F.transform(F.slice(F.array_sort(keyed), 1, num_skips), lambda s: s["p"])
+
+    return _explode_pairs(docs, tokens, doc_col, skip_window, choose)
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:

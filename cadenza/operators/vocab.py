@@ -42,8 +42,9 @@ def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
     ranked = top.select(
         F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first"))).cast("int").alias("word_id"),
         "word", "n")
-    # UNK count = all tokens - tokens of kept words, as one partial aggregate
-    both = (stream.select(F.lit(1).cast("long").alias("_d"))
+    # UNK count = all tokens - tokens of kept words. Both sums read the word
+    # counts (same exchange, reused), so the text is tokenised once.
+    both = (counts.select(F.col("n").cast("long").alias("_d"))
             .unionByName(ranked.select((-F.col("n")).cast("long").alias("_d"))))
     unk = both.agg(F.sum("_d").alias("n")).select(
         F.lit(0).alias("word_id"), F.lit(UNKNOWN_WORD).alias("word"), "n")
