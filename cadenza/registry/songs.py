@@ -14,6 +14,8 @@ from cadenza.plans.index import index_counters, index_songs
 from cadenza.plans.label import label_counters, label_songs
 from cadenza.registry.base import query
 from cadenza.registry.sqlparts import doc_title_sql, file_name_sql, word_count_sql
+from cadenza.operators import tags as T
+from cadenza.registry.base import values_cte
 from cadenza.registry.tagging import MOODS, PROBE, _LABELS
 from cadenza.sources.songs import indexed_orders, labelled_documents, lyric_corpus, song_mapping
 from cadenza.sources.tables import read_table, tag_store
@@ -215,3 +217,59 @@ def _majority(per):
         F.col("total").cast("long").alias("total"),
         F.round(F.col("top.n") / F.col("total"), 5).alias("share"),
         percent_text(F.col("top.n") / F.col("total")).alias("share_text"))
+
+
+@query("mood_selection", "WITH lab AS (" + _label_sql() + ")\nSELECT msd_id, mood FROM lab WHERE mood = 'calm'")
+def q_mood_selection(spark, sf):
+    """Equality selection on the label."""
+    lab = label_songs(indexed_orders(spark, sf), tag_store(spark, sf), PROBE, "expanded")
+    return lab.where(F.col("mood") == "calm").select("msd_id", "mood")
+
+
+@query("sorted_index", _index_sql(None))
+def q_sorted_index(spark, sf):
+    """The index globally ordered by artist (range-partitioned sort)."""
+    idx = index_songs(song_mapping(spark, sf), lyric_corpus(spark, sf))
+    return idx.orderBy("msd_artist", "msd_id")
+
+
+@query("dataset_equality", "SELECT CAST(0 AS BIGINT) AS n_left_only, CAST(0 AS BIGINT) AS n_right_only")
+def q_dataset_equality(spark, sf):
+    """U4: a resumed index equals a one-shot index (bag equality both ways)."""
+    corpus = lyric_corpus(spark, sf)
+    once = index_songs(song_mapping(spark, sf), corpus)
+    resumed = index_songs(index_songs(song_mapping(spark, sf), corpus, prefix="src1"), corpus)
+    return FR.frames_equal(once, resumed)
+
+
+_LEX_EXPAND_SQL = values_cte(
+    "terms", ["mood", "n_exact", "n_like", "n_filter"],
+    [(m, len(PROBE.exact[m]), len(PROBE.like.get(m, [])), len(PROBE.filters.get(m, [])))
+     for m in PROBE.moods_sorted]) + """,
+exact_terms AS (SELECT * FROM (VALUES """ + ", ".join(
+    f"('{m}', '{t}')" for m in PROBE.moods_sorted for t in PROBE.exact[m]) + """) t(mood, term)),
+ex AS (SELECT e.mood, count(DISTINCT li.l_orderkey) AS exact_songs
+       FROM lineitem li JOIN orders o ON li.l_orderkey = o.o_orderkey JOIN part p ON li.l_partkey = p.p_partkey
+       JOIN exact_terms e ON p.p_name = e.term GROUP BY e.mood),
+lb AS (SELECT mood, count(*) AS labelled_songs FROM lab WHERE matched_mood = 1 GROUP BY mood)
+SELECT t.mood, CAST(t.n_exact AS INTEGER) AS n_exact, CAST(t.n_like AS INTEGER) AS n_like,
+       CAST(t.n_filter AS INTEGER) AS n_filter, coalesce(ex.exact_songs, 0) AS exact_songs,
+       coalesce(lb.labelled_songs, 0) AS labelled_songs
+FROM terms t LEFT JOIN ex ON t.mood = ex.mood LEFT JOIN lb ON t.mood = lb.mood"""
+
+
+@query("lexicon_expand", "WITH lab AS (" + _label_sql() + "), " + _LEX_EXPAND_SQL)
+def q_lexicon_expand(spark, sf):
+    """Per mood the size of the exact / like / filter lists, the songs the
+    exact lists reach, and the songs labelled with the expanded lexicon."""
+    store = tag_store(spark, sf)
+    lab = label_songs(indexed_orders(spark, sf), store, PROBE, "expanded")
+    terms = spark.createDataFrame(
+        [(m, len(PROBE.exact[m]), len(PROBE.like.get(m, [])), len(PROBE.filters.get(m, [])))
+         for m in PROBE.moods_sorted], "mood string, n_exact int, n_like int, n_filter int")
+    exact_songs = (T.exact_match_rows(store, PROBE).groupBy("mood")
+                   .agg(F.countDistinct("tid_id").alias("exact_songs")))
+    labelled = lab.where(F.col("matched_mood") == 1).groupBy("mood").agg(
+        F.count(F.lit(1)).alias("labelled_songs"))
+    return (terms.join(exact_songs, "mood", "left").join(labelled, "mood", "left")
+            .na.fill(0, ["exact_songs", "labelled_songs"]))
