@@ -55,15 +55,45 @@ def global_rank(df: DataFrame, key: Column, seed=42, partition: list[str] | None
 
 
 def three_way_split(df: DataFrame, key: Column, seed=42, cuts=(0.8, 0.9),
-                    hex_digits: int = 3) -> DataFrame:
+                    hex_digits: int = 3, with_rank: bool = False) -> DataFrame:
     """Shuffle, then cut at ``int(c1*n)`` and ``int(c2*n)``:
-    split = 'train' / 'dev' / 'test'."""
-    r = global_rank(df, key, seed, hex_digits=hex_digits, size_col="_n_all")
-    c1 = F.floor(F.col("_n_all") * F.lit(cuts[0]))
-    c2 = F.floor(F.col("_n_all") * F.lit(cuts[1]))
-    split = (F.when(F.col("rank") < c1, "train").when(F.col("rank") < c2, "dev")
-             .otherwise("test"))
-    return r.withColumn("split", split).drop("_n_all")
+    split = 'train' / 'dev' / 'test'.
+
+    Without ``with_rank`` the rows are not shuffled at all: bucket counts
+    (a tiny aggregate) locate the two cut points; every bucket entirely
+    on one side of both cuts gets its label from a broadcast lookup, and
+    only the rows of the (at most two) buckets that contain a cut are
+    ranked inside their bucket. The result equals cutting the exact
+    global order."""
+    if with_rank:
+        r = global_rank(df, key, seed, hex_digits=hex_digits, size_col="_n_all")
+        c1 = F.floor(F.col("_n_all") * F.lit(cuts[0]))
+        c2 = F.floor(F.col("_n_all") * F.lit(cuts[1]))
+        split = (F.when(F.col("rank") < c1, "train").when(F.col("rank") < c2, "dev")
+                 .otherwise("test"))
+        return r.withColumn("split", split).drop("_n_all")
+    d = (df.withColumn("_h", hash_key(seed, key)).withColumn("_k", key.cast("string"))
+         .withColumn("_b", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("int")))
+    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_b")
+    off = counts.select("_b", "_n",
+                        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_lo"),
+                        F.sum("_n").over(Window.partitionBy()).alias("_t"))
+    c1 = F.floor(F.col("_t") * F.lit(cuts[0]))
+    c2 = F.floor(F.col("_t") * F.lit(cuts[1]))
+    hi = F.col("_lo") + F.col("_n")
+    whole = (F.when(hi <= c1, "train").when((F.col("_lo") >= c1) & (hi <= c2), "dev")
+             .when(F.col("_lo") >= c2, "test"))
+    # at most 16**hex_digits rows: a bounded broadcast
+    plan = off.select("_b", "_lo", whole.alias("_whole"), c1.alias("_c1"), c2.alias("_c2"))
+    j = d.join(F.broadcast(plan), "_b")
+    settled = j.where(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
+    edge = j.where(F.col("_whole").isNull())
+    pos = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")) - 1 + F.col("_lo")
+    edge = edge.withColumn("_pos", pos).withColumn(
+        "split", F.when(F.col("_pos") < F.col("_c1"), "train").when(F.col("_pos") < F.col("_c2"), "dev")
+        .otherwise("test")).drop("_pos")
+    return settled.unionByName(edge).drop("_h", "_k", "_b", "_lo", "_whole", "_c1", "_c2")
 
 
 def epoch_batches(df: DataFrame, key: Column, epochs: int, batch_size: int, seed=42,

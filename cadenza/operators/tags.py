@@ -72,12 +72,16 @@ def tag_deltas(tags: DataFrame, lex: Lexicon) -> DataFrame:
 
 
 def _tag_delta_wide(tags: DataFrame, lex: Lexicon) -> DataFrame:
-    """One row per tag id with one delta column per mood (NULL = no hit)."""
+    """One row per tag id of the tag table, one delta column per mood
+    (NULL = no like hit). Covering every tag lets the big join below be an
+    inner join that drops tag rows whose tag does not exist (as the
+    three-way join of the tag store does)."""
     moods = lex.moods_sorted
     d = tag_deltas(tags, lex)
-    return d.groupBy("tag_id").agg(
+    wide = d.groupBy("tag_id").agg(
         *[F.sum(F.when(F.col("mood") == m, F.col("delta"))).alias(f"d_{i}")
           for i, m in enumerate(moods)])
+    return tags.select("tag_id").join(wide, "tag_id", "left")
 
 
 def tag_rows(store: TagStore) -> DataFrame:
@@ -90,19 +94,25 @@ def tag_rows(store: TagStore) -> DataFrame:
 
 def scoreboard_long(store: TagStore, lex: Lexicon) -> DataFrame:
     """A7 in long form: ``(tid_id, mood, score)`` for every (song, mood) with at
-    least one like hit among the song's tags. Scores may be <= 0."""
+    least one like hit among the song's tags. Scores may be <= 0.
+
+    Tag rows meet the per-tag deltas first and are summed per (song, mood)
+    with a map-side partial aggregate; only the aggregated board is then
+    restricted to known songs (a semi join on far fewer rows)."""
     d = tag_deltas(store.tags, lex)
-    joined = store.tid_tag.join(store.tids.select("tid_id"), "tid_id").join(d, "tag_id")
-    return joined.groupBy("tid_id", "mood").agg(F.sum("delta").cast("long").alias("score"))
+    board = (store.tid_tag.join(d, "tag_id")
+             .groupBy("tid_id", "mood").agg(F.sum("delta").cast("long").alias("score")))
+    return board.join(store.tids.select("tid_id"), "tid_id", "left_semi")
 
 
 def scoreboard_wide(store: TagStore, lex: Lexicon) -> DataFrame:
-    """One row per song that has tags: ``found_tags`` and one score per mood.
+    """One row per song id that has tags: ``found_tags`` and one score per mood.
 
-    Exactly one shuffle keyed by song (plus the per-tag side of the join)."""
+    One join to the per-tag table and exactly one aggregation keyed by song
+    (partial aggregation map-side, so a hot song is pre-summed in every
+    task). Callers restrict the result to the song table."""
     moods = lex.moods_sorted
-    wide = _tag_delta_wide(store.tags, lex)
-    rows = store.tid_tag.join(store.tids.select("tid_id"), "tid_id").join(wide, "tag_id", "left")
+    rows = store.tid_tag.join(_tag_delta_wide(store.tags, lex), "tag_id")
     return rows.groupBy("tid_id").agg(
         F.count(F.lit(1)).alias("found_tags"),
         *[F.coalesce(F.sum(f"d_{i}"), F.lit(0)).cast("long").alias(m)
@@ -149,8 +159,8 @@ def label_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     tag_moods = (store.tags.join(exact, F.col("tag") == F.col("term"))
                  .groupBy("tag_id")
                  .agg(F.min(F.struct("mood_ord", "mood")).alias("tm")))
-    rows = (store.tid_tag.join(store.tids.select("tid_id"), "tid_id")
-            .join(tag_moods, "tag_id", "left"))
+    per_tag = store.tags.select("tag_id").join(tag_moods, "tag_id", "left")
+    rows = store.tid_tag.join(per_tag, "tag_id")
     per_song = rows.groupBy("tid_id").agg(
         F.count(F.lit(1)).alias("found_tags"),
         F.min(F.when(F.col("tm").isNotNull(),
@@ -185,7 +195,8 @@ def tags_for_song(store: TagStore, tid: str) -> DataFrame:
 
 def tags_per_song(store: TagStore) -> DataFrame:
     """``(tid_id, found_tags)`` with 0 for songs without tags."""
-    n = store.tid_tag.groupBy("tid_id").agg(F.count(F.lit(1)).alias("n"))
+    n = (store.tid_tag.join(store.tags.select("tag_id"), "tag_id", "left_semi")
+         .groupBy("tid_id").agg(F.count(F.lit(1)).alias("n")))
     return store.tids.join(n, "tid_id", "left").select(
         "tid_id", F.coalesce("n", F.lit(0)).cast("long").alias("found_tags"))
 

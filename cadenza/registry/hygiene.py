@@ -142,7 +142,7 @@ def q_dedupe(spark, sf):
 def q_split(spark, sf):
     """Exact seeded 80/10/10 split (bucketed global index)."""
     d = read_table(spark, sf, "documents").select("doc_id")
-    return S.three_way_split(d, F.col("doc_id"), seed=42).select("doc_id", "rank", "split")
+    return S.three_way_split(d, F.col("doc_id"), seed=42, with_rank=True).select("doc_id", "rank", "split")
 
 
 @query("split_60_20_20", """

@@ -3,6 +3,8 @@ M10; rows-only: fitted models have no SQL oracle)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from cadenza.operators import vocab as V
 from cadenza.registry.base import query
 from cadenza.registry.songs import _SPLIT_SQL
 from cadenza.registry.vectors import _LANGID_SQL, _langid
-from cadenza.session import shared_dir
+from cadenza.session import scratch_path, shared_dir
 from cadenza.sources.tables import read_table
 
 _PAIRS_SQL = """pairs AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label,
@@ -221,3 +223,18 @@ def q_embedding_pca(spark, sf):
     """M10 re-aimed: 2-D PCA projection of the embedding table."""
     e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     return MO.project_2d(e, "vec_id", "embedding")
+
+
+@query("classification_run")
+def q_classification_run(spark, sf):
+    """Staged run (dataset -> vocabulary -> vectorised splits -> naive
+    Bayes -> saved model -> per-split accuracy). A second call with the same
+    options re-reads every stage and the saved model."""
+    from cadenza.plans.classify import RunOptions, run_classification
+    from cadenza.sources.songs import labelled_documents
+
+    root = scratch_path(spark, "runs", uuid.uuid4().hex)
+    opts = RunOptions(vocab_size=2000, model="nb")
+    lab = labelled_documents(spark, sf)
+    run_classification(spark, lab, opts, sf, root=root)
+    return run_classification(spark, lab, opts, sf, root=root)
