@@ -144,10 +144,9 @@ def q_tfidf(spark, sf):
 def _langid(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
     sp = S.three_way_split(d, F.col("doc_id"), seed=42)
-    train = sp.where(F.col("split") == "train")
-    langs = LI.languages(train)
-    profile, totals = LI.fit_profiles(train, langs)
-    pred = LI.score_documents(d, profile, totals, langs)
+    langs = LI.languages(sp.where(F.col("split") == "train"))
+    sp = sp.withColumn("train_lang", F.when(F.col("split") == "train", F.col("lang")))
+    pred = LI.fit_and_score(sp, langs)
     return sp.select("doc_id", "split", "lang").join(pred, "doc_id", "left")
 
 
