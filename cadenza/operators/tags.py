@@ -87,8 +87,10 @@ def _tag_delta_wide(tags: DataFrame, lex: Lexicon) -> DataFrame:
 def tag_rows(store: TagStore) -> DataFrame:
     """Tids |><| tid_tag |><| tags as one set-based join.
 
-    Output ``(tid_id, tid, tag_id, tag, val, tag_ord)``."""
-    return (store.tid_tag.join(store.tids, "tid_id").join(store.tags, "tag_id")
+    Output ``(tid_id, tid, tag_id, tag, val, tag_ord)``. The tag table joins
+    first: tag predicates (lookups, lexicon matches) are pushed into its scan
+    and shrink the tag rows before they meet the song table."""
+    return (store.tid_tag.join(store.tags, "tag_id").join(store.tids, "tid_id")
             .select("tid_id", "tid", "tag_id", "tag", "val", "tag_ord"))
 
 
