@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cadenza.functions.text import PAD
 
@@ -28,6 +29,24 @@ def word_frequency(stream: DataFrame) -> DataFrame:
     return stream.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+POS_BITS = 23  # first-seen keys pack (doc_id, pos) into one long
+
+
+def _first_seen(stream: DataFrame) -> Column:
+    """Orderable first-appearance key of a token row.
+
+    For integral document ids it is ``doc_id << 23 | pos`` - a plain long,
+    so the count + min aggregate stays a fast hash aggregate; ids or
+    positions outside the packable range raise an error instead of ordering
+    wrongly. Other id types fall back to a (doc_id, pos) struct."""
+    if isinstance(stream.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType)):
+        ok = (F.col("doc_id") >= 0) & (F.col("doc_id") < F.lit(1 << (62 - POS_BITS))) & (
+            F.col("pos") < F.lit(1 << POS_BITS))
+        packed = F.shiftleft(F.col("doc_id").cast("long"), POS_BITS) + F.col("pos")
+        return F.when(ok, packed).otherwise(F.raise_error(F.lit("doc_id/pos out of packable range")).cast("long"))
+    return F.struct("doc_id", "pos")
+
+
 def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
     """``(word_id, word, n)``; id 0 is 'UNK' with the count of tokens
     outside the vocabulary, then the ``vocab_size - 1`` most frequent words,
@@ -35,9 +54,7 @@ def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
 
     The ranking is a distributed top-k (TakeOrderedAndProject) of size
     vocab_size - 1; only that bounded result gets a row_number."""
-    counts = stream.groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.struct("doc_id", "pos")).alias("first"))
+    counts = stream.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(_first_seen(stream)).alias("first"))
     top = counts.orderBy(F.desc("n"), F.asc("first")).limit(vocab_size - 1)
     ranked = top.select(
         F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first"))).cast("int").alias("word_id"),
