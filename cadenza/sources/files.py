@@ -116,5 +116,6 @@ def read_confusion_csv(spark: SparkSession, path: str, classes: list[str]) -> Da
     names = F.array(*[F.lit(c) for c in classes])
     pairs = ", ".join(f"{i}, c{i}" for i in range(k))
     long = df.selectExpr("_row", f"stack({k}, {pairs}) AS (_col, n)")
-    return long.select(F.element_at(names, F.col("_row") + 1).alias("label"),
-                       F.element_at(names, F.col("_col") + 1).alias("prediction"), "n")
+    return long.where(F.col("_row").isNotNull()).select(
+        F.element_at(names, F.col("_row") + 1).alias("label"),
+        F.element_at(names, F.col("_col") + 1).alias("prediction"), "n")
