@@ -127,8 +127,7 @@ def balance_classes(df: DataFrame, label: str, key: Column, text_col: str | None
     # plan has one row per (group, class): small and bounded by the class count
     j = df.join(F.broadcast(plan), [*g, label])
     originals = j.withColumn("copy", F.lit(0))
-    full = (j.where(F.col("_copies") > 0)
-            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    full = _full_copies(j, key)
     needs_rest = j.where(F.col("_rest") > 0)
     ranked = global_rank(needs_rest, key, seed=f"{seed}|pad", partition=[*g, label],
                          hex_digits=hex_digits, rank_col="_r")
@@ -143,6 +142,28 @@ def balance_classes(df: DataFrame, label: str, key: Column, text_col: str | None
     return originals.unionByName(copies).drop("_n", "_copies", "_rest")
 
 
+COPY_CHUNK = 1024
+
+
+def _full_copies(j: DataFrame, key: Column) -> DataFrame:
+    """Rows repeated ``_copies`` times (copy = 1.._copies).
+
+    A tiny class next to a huge one needs a huge number of copies per row,
+    and one task would generate them all. Rows needing more than
+    ``COPY_CHUNK`` copies are first split into chunks that are spread over
+    the cluster by a hash repartition, and each chunk is expanded where it
+    lands; rows with few copies expand in place."""
+    few = (j.where((F.col("_copies") > 0) & (F.col("_copies") <= COPY_CHUNK))
+           .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))))
+    many = j.where(F.col("_copies") > COPY_CHUNK).withColumn(
+        "_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_copies") - 1) / COPY_CHUNK).cast("int"))))
+    spread = many.repartition(key, F.col("_chunk"))
+    lo = F.col("_chunk") * COPY_CHUNK + 1
+    hi = F.least(F.col("_copies"), (F.col("_chunk") + 1) * COPY_CHUNK)
+    many = spread.withColumn("copy", F.explode(F.sequence(lo, hi))).drop("_chunk")
+    return few.unionByName(many)
+
+
 def downsample_class(df: DataFrame, label: str, cls: str, key: Column, fraction_num: int = 1,
                      fraction_den: int = 2, seed=42, hex_digits: int = 3) -> DataFrame:
     """Keep the first ``floor(n * num / den)`` rows (seeded order) of one

@@ -184,3 +184,36 @@ def q_language_id_accuracy(spark, sf):
     return p.groupBy("split").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg(F.when(F.col("predicted") == F.col("lang"), 1.0).otherwise(0.0)), 5).alias("accuracy"))
+
+
+
+
+
+@query("index_with_langid", _LANGID_SQL + """,
+m AS (SELECT CAST(doc_id AS VARCHAR) AS msd_id, source AS msd_artist, 'doc ' || CAST(doc_id AS VARCHAR) AS msd_title,
+             regexp_replace(replace(source, ' ', '_') || '___' || replace('doc ' || CAST(doc_id AS VARCHAR), ' ', '_'),
+                            '[^\\p{L}\\p{N}_]', '', 'g') AS fn,
+             coalesce(length(text) > 0, false) AS found,
+             CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS n_words,
+             doc_id FROM documents),
+j AS (SELECT m.*, p.predicted AS lang, NOT (m.found AND p.predicted IS NULL) AS upd
+      FROM m LEFT JOIN pred p ON m.doc_id = p.doc_id)
+SELECT msd_id, msd_artist, msd_title,
+  CAST(CASE WHEN upd THEN (CASE WHEN found AND lang = 'en' THEN 1 ELSE 0 END) ELSE -1 END AS INTEGER) AS is_english,
+  CAST(CASE WHEN upd THEN (CASE WHEN found THEN 1 ELSE 0 END) ELSE -1 END AS INTEGER) AS lyrics_available,
+  CAST(CASE WHEN upd THEN (CASE WHEN found THEN n_words ELSE 0 END) ELSE -1 END AS INTEGER) AS wordcount,
+  CASE WHEN upd THEN fn ELSE '-1' END AS lyrics_filename
+FROM j""")
+def q_index_with_langid(spark, sf):
+    """F4 + M9 + L1: the index with the language flag from the trigram model
+    (a document the model cannot score stays unprocessed, like a detector
+    error)."""
+    from cadenza.plans.index import index_songs
+    from cadenza.sources.songs import song_mapping
+
+    pred = _langid(spark, sf).select("doc_id", F.col("predicted").alias("lang"))
+    d = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    corpus = d.join(pred, "doc_id", "left").select(
+        TX.safe_file_name(F.col("source"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
+        .alias("lyrics_filename"), F.col("text").alias("lyrics"), "lang")
+    return index_songs(song_mapping(spark, sf), corpus)

@@ -127,3 +127,14 @@ def test_sep_parse(spark):
     ok, rej = FS.parse_sep_lines(lines)
     assert [tuple(r) for r in ok.collect()] == [("a", "b", "c", "d", "e", "f")]
     assert [(r["line"], r["n_fields"]) for r in rej.collect()] == [("x<SEP>y", 2)]
+
+
+def test_balance_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "COPY_CHUNK", 3)
+    rows = [(i, "a" if i < 20 else "b", f"x{i}") for i in range(21)]
+    df = spark.createDataFrame(rows, "k long, mood string, lyrics string")
+    out = S.balance_classes(df, "mood", F.col("k"))
+    sizes = {r["mood"]: r["count"] for r in out.groupBy("mood").count().collect()}
+    assert sizes == {"a": 20, "b": 20}
+    copies = sorted(r["copy"] for r in out.where("mood = 'b'").collect())
+    assert copies == list(range(20))
