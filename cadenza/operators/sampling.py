@@ -54,6 +54,49 @@ def global_rank(df: DataFrame, key: Column, seed=42, partition: list[str] | None
     return out.drop(*drop)
 
 
+def seeded_cut(df: DataFrame, key: Column, seed, labels: list[str], thresholds,
+               partition: list[str] | None = None, carry: list[str] | None = None,
+               hex_digits: int = 3, label_col: str = "cut") -> DataFrame:
+    """Label every row by where its position in ``md5(seed|key)`` order
+    (within ``partition``) falls among ascending thresholds:
+    ``labels[i]`` for positions in ``[thr[i-1], thr[i])``.
+
+    ``thresholds(off)`` returns one Column per cut, evaluated on the small
+    per-(partition, bucket) table ``off`` that has ``_t`` (partition size)
+    and the ``carry`` columns (constant within a partition). Buckets that
+    lie wholly between two cuts are labelled through a broadcast lookup
+    without moving any row; only rows of the few buckets that contain a
+    cut are ranked inside their bucket. Equal to cutting the exact order."""
+    part = list(partition or [])
+    carry = list(carry or [])
+    d = (df.withColumn("_h", hash_key(seed, key)).withColumn("_k", key.cast("string"))
+         .withColumn("_b", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("int")))
+    counts = d.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n"), *[F.max(c).alias(c) for c in carry])
+    w = Window.partitionBy(*part).orderBy("_b")
+    off = counts.select(*part, *carry, "_b", "_n",
+                        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_lo"),
+                        F.sum("_n").over(Window.partitionBy(*part)).alias("_t"))
+    cuts = thresholds(off)
+    off = off.select(*part, "_b", "_n", "_lo", *[c.alias(f"_c{i}") for i, c in enumerate(cuts)])
+    lo, hi = F.col("_lo"), F.col("_lo") + F.col("_n")
+    whole = F.when(hi <= F.col("_c0"), F.lit(labels[0]))
+    for i in range(1, len(cuts)):
+        whole = whole.when((lo >= F.col(f"_c{i - 1}")) & (hi <= F.col(f"_c{i}")), F.lit(labels[i]))
+    whole = whole.when(lo >= F.col(f"_c{len(cuts) - 1}"), F.lit(labels[len(cuts)]))
+    plan = off.select(*part, "_b", "_lo", whole.alias("_whole"), *[f"_c{i}" for i in range(len(cuts))])
+    # (#partitions x 16**hex_digits) rows at most: partitions here are classes
+    j = d.join(F.broadcast(plan), [*part, "_b"])
+    settled = j.where(F.col("_whole").isNotNull()).withColumn(label_col, F.col("_whole"))
+    edge = j.where(F.col("_whole").isNull()).withColumn(
+        "_pos", F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_h", "_k")) - 1 + F.col("_lo"))
+    lab = F.when(F.col("_pos") < F.col("_c0"), F.lit(labels[0]))
+    for i in range(1, len(cuts)):
+        lab = lab.when(F.col("_pos") < F.col(f"_c{i}"), F.lit(labels[i]))
+    edge = edge.withColumn(label_col, lab.otherwise(F.lit(labels[len(cuts)]))).drop("_pos")
+    drop = ["_h", "_k", "_b", "_lo", "_whole"] + [f"_c{i}" for i in range(len(cuts))]
+    return settled.unionByName(edge).drop(*drop)
+
+
 def three_way_split(df: DataFrame, key: Column, seed=42, cuts=(0.8, 0.9),
                     hex_digits: int = 3, with_rank: bool = False) -> DataFrame:
     """Shuffle, then cut at ``int(c1*n)`` and ``int(c2*n)``:
@@ -72,28 +115,9 @@ def three_way_split(df: DataFrame, key: Column, seed=42, cuts=(0.8, 0.9),
         split = (F.when(F.col("rank") < c1, "train").when(F.col("rank") < c2, "dev")
                  .otherwise("test"))
         return r.withColumn("split", split).drop("_n_all")
-    d = (df.withColumn("_h", hash_key(seed, key)).withColumn("_k", key.cast("string"))
-         .withColumn("_b", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("int")))
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b")
-    off = counts.select("_b", "_n",
-                        (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_lo"),
-                        F.sum("_n").over(Window.partitionBy()).alias("_t"))
-    c1 = F.floor(F.col("_t") * F.lit(cuts[0]))
-    c2 = F.floor(F.col("_t") * F.lit(cuts[1]))
-    hi = F.col("_lo") + F.col("_n")
-    whole = (F.when(hi <= c1, "train").when((F.col("_lo") >= c1) & (hi <= c2), "dev")
-             .when(F.col("_lo") >= c2, "test"))
-    # at most 16**hex_digits rows: a bounded broadcast
-    plan = off.select("_b", "_lo", whole.alias("_whole"), c1.alias("_c1"), c2.alias("_c2"))
-    j = d.join(F.broadcast(plan), "_b")
-    settled = j.where(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
-    edge = j.where(F.col("_whole").isNull())
-    pos = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_k")) - 1 + F.col("_lo")
-    edge = edge.withColumn("_pos", pos).withColumn(
-        "split", F.when(F.col("_pos") < F.col("_c1"), "train").when(F.col("_pos") < F.col("_c2"), "dev")
-        .otherwise("test")).drop("_pos")
-    return settled.unionByName(edge).drop("_h", "_k", "_b", "_lo", "_whole", "_c1", "_c2")
+    return seeded_cut(df, key, seed, ["train", "dev", "test"],
+                      lambda off: [F.floor(F.col("_t") * F.lit(cuts[0])), F.floor(F.col("_t") * F.lit(cuts[1]))],
+                      hex_digits=hex_digits, label_col="split")
 
 
 def epoch_batches(df: DataFrame, key: Column, epochs: int, batch_size: int, seed=42,
@@ -129,10 +153,11 @@ def balance_classes(df: DataFrame, label: str, key: Column, text_col: str | None
     originals = j.withColumn("copy", F.lit(0))
     full = _full_copies(j, key)
     needs_rest = j.where(F.col("_rest") > 0)
-    ranked = global_rank(needs_rest, key, seed=f"{seed}|pad", partition=[*g, label],
-                         hex_digits=hex_digits, rank_col="_r")
-    rest = (ranked.where(F.col("_r") < F.col("_rest"))
-            .withColumn("copy", F.col("_copies") + 1).drop("_r"))
+    # the first `_rest` rows of each class in seeded order, without shuffling rows
+    picked = seeded_cut(needs_rest, key, f"{seed}|pad", ["keep", "drop"], lambda off: [F.col("_rest")],
+                        partition=[*g, label], carry=["_rest"], hex_digits=hex_digits, label_col="_pick")
+    rest = (picked.where(F.col("_pick") == "keep")
+            .withColumn("copy", F.col("_copies") + 1).drop("_pick"))
     copies = full.unionByName(rest)
     if text_col:
         copies = copies.withColumn(
@@ -169,9 +194,10 @@ def downsample_class(df: DataFrame, label: str, cls: str, key: Column, fraction_
     """Keep the first ``floor(n * num / den)`` rows (seeded order) of one
     class; other classes untouched."""
     one = df.where(F.col(label) == cls)
-    ranked = global_rank(one, key, seed, hex_digits=hex_digits, size_col="_n")
-    kept = ranked.where(F.col("rank") < F.floor(F.col("_n") * fraction_num / fraction_den)).drop(
-        "rank", "_n")
+    cut = seeded_cut(one, key, seed, ["keep", "drop"],
+                     lambda off: [F.floor(F.col("_t") * fraction_num / fraction_den)],
+                     hex_digits=hex_digits, label_col="_pick")
+    kept = cut.where(F.col("_pick") == "keep").drop("_pick")
     return df.where(~F.coalesce(F.col(label) == cls, F.lit(False))).unionByName(kept)
 
 
