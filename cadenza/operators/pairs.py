@@ -44,8 +44,29 @@ def _explode_pairs(docs: DataFrame, tokens: Column, doc_col: str, skip_window: i
 def skipgram_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1,
                    doc_col: str = "doc_id") -> DataFrame:
     """All pairs within ``skip_window`` on both sides, inside each document.
-    Output ``(doc_id, pos, centre, context)``."""
-    return _explode_pairs(docs, tokens, doc_col, skip_window, lambda i, cands: cands)
+    Output ``(doc_id, pos, centre, context)``.
+
+    For each offset o the pairs are two aligned slices of the token array
+    zipped together (centres t[0..n-o), contexts t[o..n) and the mirror
+    image), so a document is turned into pairs with a handful of array
+    operations instead of one small array per centre."""
+    t = docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t"))
+    n = F.size("_t")
+    empty = F.array().cast("array<struct<pos:int,centre:string,context:string>>")
+    parts = []
+    for o in range(1, skip_window + 1):
+        m = n - o
+        head = F.slice("_t", 1, F.greatest(m, F.lit(0)))
+        tail = F.slice("_t", 1 + o, F.greatest(m, F.lit(0)))
+        fwd = F.arrays_zip(F.sequence(F.lit(0), m - 1).alias("pos"), head.alias("centre"), tail.alias("context"))
+        bwd = F.arrays_zip(F.sequence(F.lit(o), n - 1).alias("pos"), tail.alias("centre"), head.alias("context"))
+        parts.append(F.when(m > 0, fwd.cast("array<struct<pos:int,centre:string,context:string>>"))
+                     .otherwise(empty))
+        parts.append(F.when(m > 0, bwd.cast("array<struct<pos:int,centre:string,context:string>>"))
+                     .otherwise(empty))
+    pairs = F.concat(*parts)
+    return t.select("doc_id", F.explode(pairs).alias("p")).select(
+        "doc_id", F.col("p.pos").cast("int").alias("pos"), "p.centre", "p.context")
 
 
 def skipgram_sampled(docs: DataFrame, tokens: Column, skip_window: int = 1, num_skips: int = 2,

@@ -138,3 +138,21 @@ def test_balance_many_copies(spark, monkeypatch):
     assert sizes == {"a": 20, "b": 20}
     copies = sorted(r["copy"] for r in out.where("mood = 'b'").collect())
     assert copies == list(range(20))
+
+
+def test_skipgram_pairs_brute_force(spark):
+    from cadenza.operators import pairs as PA
+
+    docs = [(1, ["a", "b", "c", "d"]), (2, ["x"]), (3, []), (4, ["p", "q"])]
+    df = spark.createDataFrame(docs, "doc_id long, t array<string>")
+    for w in (1, 2, 3):
+        got = sorted(tuple(r) for r in PA.skipgram_pairs(df, F.col("t"), w).collect())
+        exp = sorted((d, i, t[i], t[j]) for d, t in docs for i in range(len(t))
+                     for j in range(max(0, i - w), min(len(t), i + w + 1)) if j != i)
+        assert got == exp
+    sampled = PA.skipgram_sampled(df, F.col("t"), skip_window=2, num_skips=2).collect()
+    per_centre = {}
+    for r in sampled:
+        per_centre.setdefault((r["doc_id"], r["pos"]), []).append(r["context"])
+    assert all(len(v) <= 2 for v in per_centre.values())
+    assert len(per_centre[(1, 0)]) == 2
