@@ -267,18 +267,44 @@ def like_minus_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     return like.subtract(exact)
 
 
+def _tag_mood_flags(tags: DataFrame, lex: Lexicon) -> DataFrame:
+    """Per (tag_id, mood): is the tag an exact term, a LIKE hit, and is the
+    LIKE hit removed by a filter term. Built on the tag table only (small);
+    the big tag-row table is then read once for all three counts."""
+    spark = tags.sparkSession
+    literal = lex.is_literal()
+    exact = F.broadcast(exact_terms_df(spark, lex))
+    ex = (tags.join(exact, F.col("tag") == F.col("term")).select("tag_id", "mood").distinct()
+          .withColumn("is_exact", F.lit(True)))
+    like = like_tag_moods(tags, lex)
+    filters = F.broadcast(filter_terms_df(spark, lex).select("mood", F.col("term").alias("fterm")))
+    bad = (like.select("mood", "tag").distinct().join(filters, "mood")
+           .where(_hit(F.lower(F.col("tag")), F.col("fterm"), literal))
+           .select("mood", "tag").distinct().withColumn("filtered", F.lit(True)))
+    lk = (like.join(bad, ["mood", "tag"], "left")
+          .select("tag_id", "mood", F.lit(True).alias("is_like"),
+                  F.coalesce("filtered", F.lit(False)).alias("filtered")))
+    return (ex.join(lk, ["tag_id", "mood"], "full")
+            .select("tag_id", "mood", F.coalesce("is_exact", F.lit(False)).alias("is_exact"),
+                    F.coalesce("is_like", F.lit(False)).alias("is_like"),
+                    F.coalesce("filtered", F.lit(False)).alias("filtered")))
+
+
 def match_coverage(store: TagStore, lex: Lexicon) -> DataFrame:
     """A17 per mood: exact rows, like rows, like rows after filters, gain and
-    like/exact percentage (-1 when there is no exact row)."""
+    like/exact percentage (-1 when there is no exact row). One pass over
+    the tag rows joined to small per-tag flags."""
     spark = store.tags.sparkSession
     moods = spark.createDataFrame([(m,) for m in lex.moods_sorted], "mood string")
-    ex = exact_match_rows(store, lex).groupBy("mood").agg(F.count(F.lit(1)).alias("exact_rows"))
-    like_rows = like_match_rows(store, lex)
-    lk = like_rows.groupBy("mood").agg(F.count(F.lit(1)).alias("like_rows"))
-    lf = (exclude_filtered(like_rows, lex).groupBy("mood")
-          .agg(F.count(F.lit(1)).alias("like_rows_filtered")))
-    out = (F.broadcast(moods).join(ex, "mood", "left").join(lk, "mood", "left")
-           .join(lf, "mood", "left").na.fill(0, ["exact_rows", "like_rows", "like_rows_filtered"]))
+    flags = _tag_mood_flags(store.tags, lex)
+    rows = store.tid_tag.join(store.tags.select("tag_id"), "tag_id").join(
+        store.tids.select("tid_id"), "tid_id").join(flags, "tag_id")
+    per = rows.groupBy("mood").agg(
+        F.count_if("is_exact").alias("exact_rows"),
+        F.count_if("is_like").alias("like_rows"),
+        F.count_if(F.col("is_like") & ~F.col("filtered")).alias("like_rows_filtered"))
+    out = (F.broadcast(moods).join(per, "mood", "left")
+           .na.fill(0, ["exact_rows", "like_rows", "like_rows_filtered"]))
     return out.select(
         "mood", "exact_rows", "like_rows", "like_rows_filtered",
         (F.col("like_rows_filtered") - F.col("exact_rows")).alias("gain"),
