@@ -16,7 +16,6 @@ from cadenza.operators import sampling as S
 from cadenza.operators import vectors as VE
 from cadenza.operators import vocab as V
 from cadenza.registry.base import query
-from cadenza.registry.songs import _SPLIT_SQL
 from cadenza.registry.vectors import _LANGID_SQL, _langid
 from cadenza.session import scratch_path, shared_dir
 from cadenza.sources.tables import read_table

@@ -143,3 +143,19 @@ def test_confusion_long_fills_zero_cells(spark):
     pairs = spark.createDataFrame([("a", "a"), ("a", "b"), ("c", "a")], "label string, prediction string")
     cm = {(r["label"], r["prediction"]): r["n"] for r in ME.confusion_long(pairs).collect()}
     assert len(cm) == 9 and cm[("a", "b")] == 1 and cm[("b", "b")] == 0
+
+
+def test_match_coverage_full_lexicon(spark):
+    """Capitalised filter terms never hit the lower-cased tag; LIKE ignores case."""
+    tags = ["Sophie Merry", "merry christmas", "cheerleader", "happy", "Happy Songs", "not happy"]
+    tag_df = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "tag_id long, tag string")
+    tids = spark.createDataFrame([(1, "TR1"), (2, "TR2")], "tid_id long, tid string")
+    tid_tag = spark.createDataFrame([(s, i, 1.0, i) for s in (1, 2) for i in range(len(tags))],
+                                    "tid_id long, tag_id long, val double, tag_ord long")
+    cov = {r["mood"]: r for r in T.match_coverage(TagStore(tids, tag_df, tid_tag), full_lexicon()).collect()}
+    # cheerful: like 'cheer' / 'merry' hit 3 tags; 'cheerlead' filters one; 'Sophie Merry' never filters
+    assert (cov["cheerful"]["like_rows"], cov["cheerful"]["like_rows_filtered"]) == (6, 4)
+    assert cov["cheerful"]["exact_rows"] == 0 and cov["cheerful"]["pct"] == -1.0
+    # happy: exact 'happy' only (case-sensitive equality); like hits 'happy', 'Happy Songs', 'not happy'
+    assert cov["happy"]["exact_rows"] == 2
+    assert (cov["happy"]["like_rows"], cov["happy"]["like_rows_filtered"]) == (6, 4)
