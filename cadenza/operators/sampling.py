@@ -56,17 +56,20 @@ def global_rank(df: DataFrame, key: Column, seed=42, partition: list[str] | None
 
 def seeded_cut(df: DataFrame, key: Column, seed, labels: list[str], thresholds,
                partition: list[str] | None = None, carry: list[str] | None = None,
-               hex_digits: int = 3, label_col: str = "cut") -> DataFrame:
+               hex_digits: int = 4, label_col: str = "cut") -> DataFrame:
     """Label every row by where its position in ``md5(seed|key)`` order
     (within ``partition``) falls among ascending thresholds:
     ``labels[i]`` for positions in ``[thr[i-1], thr[i])``.
 
     ``thresholds(off)`` returns one Column per cut, evaluated on the small
     per-(partition, bucket) table ``off`` that has ``_t`` (partition size)
-    and the ``carry`` columns (constant within a partition). Buckets that
-    lie wholly between two cuts are labelled through a broadcast lookup
-    without moving any row; only rows of the few buckets that contain a
-    cut are ranked inside their bucket. Equal to cutting the exact order."""
+    and the ``carry`` columns (constant within a partition).
+
+    The wide rows are read once and never shuffled: buckets that lie wholly
+    between two cuts get their label from a broadcast lookup; the few rows
+    of the buckets that contain a cut are ranked from a key-only projection
+    (about 2/16**hex_digits of the rows) and joined back by key, which AQE
+    broadcasts. Equal to cutting the exact order."""
     part = list(partition or [])
     carry = list(carry or [])
     d = (df.withColumn("_h", hash_key(seed, key)).withColumn("_k", key.cast("string"))
@@ -77,24 +80,26 @@ def seeded_cut(df: DataFrame, key: Column, seed, labels: list[str], thresholds,
                         (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_lo"),
                         F.sum("_n").over(Window.partitionBy(*part)).alias("_t"))
     cuts = thresholds(off)
+    ncut = len(cuts)
     off = off.select(*part, "_b", "_n", "_lo", *[c.alias(f"_c{i}") for i, c in enumerate(cuts)])
     lo, hi = F.col("_lo"), F.col("_lo") + F.col("_n")
     whole = F.when(hi <= F.col("_c0"), F.lit(labels[0]))
-    for i in range(1, len(cuts)):
+    for i in range(1, ncut):
         whole = whole.when((lo >= F.col(f"_c{i - 1}")) & (hi <= F.col(f"_c{i}")), F.lit(labels[i]))
-    whole = whole.when(lo >= F.col(f"_c{len(cuts) - 1}"), F.lit(labels[len(cuts)]))
-    plan = off.select(*part, "_b", "_lo", whole.alias("_whole"), *[f"_c{i}" for i in range(len(cuts))])
-    # (#partitions x 16**hex_digits) rows at most: partitions here are classes
-    j = d.join(F.broadcast(plan), [*part, "_b"])
-    settled = j.where(F.col("_whole").isNotNull()).withColumn(label_col, F.col("_whole"))
-    edge = j.where(F.col("_whole").isNull()).withColumn(
-        "_pos", F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_h", "_k")) - 1 + F.col("_lo"))
-    lab = F.when(F.col("_pos") < F.col("_c0"), F.lit(labels[0]))
-    for i in range(1, len(cuts)):
-        lab = lab.when(F.col("_pos") < F.col(f"_c{i}"), F.lit(labels[i]))
-    edge = edge.withColumn(label_col, lab.otherwise(F.lit(labels[len(cuts)]))).drop("_pos")
-    drop = ["_h", "_k", "_b", "_lo", "_whole"] + [f"_c{i}" for i in range(len(cuts))]
-    return settled.unionByName(edge).drop(*drop)
+    whole = whole.when(lo >= F.col(f"_c{ncut - 1}"), F.lit(labels[ncut]))
+    plan = off.select(*part, "_b", "_lo", whole.alias("_whole"), *[f"_c{i}" for i in range(ncut)])
+    # plan: at most (#partitions x 16**hex_digits) rows; partitions here are classes
+    edge_plan = F.broadcast(plan.where(F.col("_whole").isNull()))
+    keys = d.select(*part, "_b", "_h", "_k").join(edge_plan, [*part, "_b"])
+    pos = F.row_number().over(Window.partitionBy(*part, "_b").orderBy("_h", "_k")) - 1 + F.col("_lo")
+    lab = F.when(pos < F.col("_c0"), F.lit(labels[0]))
+    for i in range(1, ncut):
+        lab = lab.when(pos < F.col(f"_c{i}"), F.lit(labels[i]))
+    edge = keys.select(*part, "_k", lab.otherwise(F.lit(labels[ncut])).alias("_edge"))
+    out = (d.join(F.broadcast(plan.select(*part, "_b", "_whole")), [*part, "_b"])
+           .join(edge, [*part, "_k"], "left"))
+    return (out.withColumn(label_col, F.coalesce("_whole", "_edge"))
+            .drop("_h", "_k", "_b", "_whole", "_edge"))
 
 
 def three_way_split(df: DataFrame, key: Column, seed=42, cuts=(0.8, 0.9),
