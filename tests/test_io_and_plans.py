@@ -156,3 +156,23 @@ def test_skipgram_pairs_brute_force(spark):
         per_centre.setdefault((r["doc_id"], r["pos"]), []).append(r["context"])
     assert all(len(v) <= 2 for v in per_centre.values())
     assert len(per_centre[(1, 0)]) == 2
+
+
+def test_seeded_cut_equals_exact_rank(spark):
+    """The boundary-bucket cut gives the same labels as cutting the exact
+    per-partition rank, for several sizes and one hex digit (16 buckets, so
+    many rows share a bucket and the boundary ranking is exercised)."""
+    import random
+
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(["a", "b", "c"])) for i in range(0, 3000, 3)]
+    df = spark.createDataFrame(rows, "k long, g string")
+    cut = S.seeded_cut(df, F.col("k"), 5, ["lo", "mid", "hi"],
+                       lambda off: [F.floor(F.col("_t") * 0.3), F.floor(F.col("_t") * 0.75)],
+                       partition=["g"], hex_digits=1, label_col="lab")
+    ranked = S.global_rank(df, F.col("k"), 5, partition=["g"], hex_digits=1, size_col="n")
+    exp = ranked.select("k", F.when(F.col("rank") < F.floor(F.col("n") * 0.3), "lo")
+                        .when(F.col("rank") < F.floor(F.col("n") * 0.75), "mid").otherwise("hi").alias("lab"))
+    got = {r["k"]: r["lab"] for r in cut.select("k", "lab").collect()}
+    want = {r["k"]: r["lab"] for r in exp.collect()}
+    assert len(got) == len(rows) and got == want
