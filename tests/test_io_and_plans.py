@@ -176,3 +176,23 @@ def test_seeded_cut_equals_exact_rank(spark):
     got = {r["k"]: r["lab"] for r in cut.select("k", "lab").collect()}
     want = {r["k"]: r["lab"] for r in exp.collect()}
     assert len(got) == len(rows) and got == want
+
+
+def test_epoch_batches_invariants(spark):
+    df = spark.range(10).withColumnRenamed("id", "k")
+    out = S.epoch_batches(df, F.col("k"), epochs=2, batch_size=4, seed=3).collect()
+    for e in (1, 2):
+        rows = [r for r in out if r["epoch"] == e]
+        assert sorted(r["position"] for r in rows) == list(range(10))
+        assert len({r["batch"] for r in rows}) == int((10 - 1) / 4) + 1
+    orders = [[r["k"] for r in sorted((r for r in out if r["epoch"] == e), key=lambda r: r["position"])]
+              for e in (1, 2)]
+    assert orders[0] != orders[1]
+
+
+def test_histogram_degenerate_range(spark):
+    from cadenza.operators import tags as T
+
+    counts = spark.createDataFrame([("a", 5), ("b", 5)], "tag string, n_songs long")
+    rows = {r["bin"]: r["n"] for r in T.tag_histogram(counts).collect()}
+    assert rows[0] == 2 and sum(rows.values()) == 2 and len(rows) == 10
