@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.session import scratch_path
 
+# Functions of this package travel to the executors with their code: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["cadenza.llm"])
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker, for tables that are dear to build."""
+    name = "_cadenza_worker_cache"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,10 +72,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
             yield batch.slice(start, len(lengths) - start)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
     """Connected components of the links (a, b) over longs: rows (node, root), root the smallest node.
 

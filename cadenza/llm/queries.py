@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import simhash
+from cadenza.llm import linededup, simhash, stringkernel, tiling
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,22 @@ def query(name: str, oracle: str | None = None):
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints over 3-word shingles, classes linked at 2 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text by Nyström string-kernel ridge regression."""
+    return stringkernel.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_dedup", linededup.ORACLE)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with cross-site boilerplate lines removed."""
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op3_decontaminate")
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, by greedy string tiling, with each item's coverage."""
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "item_id", "n_words", "matched", "coverage")
