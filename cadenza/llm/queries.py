@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import linededup, simhash, stringkernel, tiling
+from cadenza.llm import linededup, sentpiece, simhash, stringkernel, tiling
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,12 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded with merge-dropout, decoded again and compared."""
+    return sentpiece.encode(table(spark, sf_dir, "documents"))
+
+
 @query("op2_simhash_near_dedup")
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints over 3-word shingles, classes linked at 2 or fewer differing bits."""
