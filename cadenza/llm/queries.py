@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import linededup, sentpiece, simhash, stringkernel, tiling
+from cadenza.llm import linededup, secrets, sentpiece, sharding, simhash, stringkernel, tiling, urls
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +36,28 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
 
 
+@query("op5_lpt_sharding")
+def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, equal texts together, by longest-processing-time scheduling."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op6_url_reputation", urls.ORACLE)
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url by rule, else by its host's reputation; a page's outcome is the label of the same number."""
+    outcomes = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select(
+        F.col("doc_id").alias("page_id"), F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END").alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, with weak credential parts linked to their complements."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text by Nyström string-kernel ridge regression."""

@@ -126,8 +126,10 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     if not top:
         return fit_sets([], [], landmarks)
     per = max(1, sample_rows // len(top))
-    picked = (ids.where(F.col("label").isin(top)).distinct().selectExpr(
-        "id", "label", "row_number() OVER (PARTITION BY label ORDER BY xxhash64(id), id) AS n").where(f"n <= {per}"))
+    first = "row_number() OVER (PARTITION BY label{} ORDER BY xxhash64(id), id) AS n"
+    picked = ids.where(F.col("label").isin(top)).distinct()
+    for by in (", pmod(id, 64)", ""):  # a label may hold most rows: the smallest of each of 64 parts, then of all
+        picked = picked.selectExpr("id", "label", first.format(by)).where(f"n <= {per}").drop("n")
     chosen = {(r["id"], r["label"]) for r in picked.select("id", "label").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
