@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import linededup, secrets, sentpiece, sharding, simhash, stringkernel, tiling, urls
+from cadenza.llm import (
+    graphsearch,
+    linededup,
+    privacy,
+    secrets,
+    sentpiece,
+    sharding,
+    simhash,
+    stringkernel,
+    tiling,
+    urls,
+)
 from cadenza.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +47,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
 
 
+@query("op4_pii_sanitise")
+def op4_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text, and the terms near it that give it away."""
+    return privacy.digest(privacy.find(table(spark, sf_dir, "documents")))
+
+
 @query("op5_lpt_sharding")
 def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, equal texts together, by longest-processing-time scheduling."""
@@ -75,3 +92,9 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, by greedy string tiling, with each item's coverage."""
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "item_id", "n_words", "matched", "coverage")
+
+
+@query("op10_graph_search")
+def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest inner products for every 20th vector, by beam search on robust-pruned graphs."""
+    return graphsearch.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
