@@ -64,18 +64,24 @@ def local_session(cores: int = 8, memory: str = "16g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for materialised stages and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (the cluster names it). Only when it
-    is unset - a local test session - a fresh scratch folder is created
-    and registered as the context's checkpoint dir so later calls agree.
+    Read from ``spark.checkpoint.dir`` (the cluster names it), else from the
+    context's checkpoint folder. Only a local session without either - a
+    test - gets a fresh scratch folder, registered as the context's
+    checkpoint dir so later calls agree; a cluster without one is an error,
+    as its executors would each write to a disk of their own.
     """
+    sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = _LOCAL_DIRS.get(spark.sparkContext.applicationId)
+        d = sc.getCheckpointDir()
+        d = d.rsplit("/", 1)[0] if d else _LOCAL_DIRS.get(sc.applicationId)
     if not d:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="cadenza-ckpt-")
-        _LOCAL_DIRS[spark.sparkContext.applicationId] = d
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        _LOCAL_DIRS[sc.applicationId] = d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
@@ -87,7 +93,8 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
 
 
 def is_local(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local")
+    """One JVM: ``local`` or ``local[n]``; a ``local-cluster`` has executors of its own."""
+    return spark.sparkContext.master.split("[")[0] == "local"
 
 
 def env_int(name: str, default: int) -> int:
