@@ -25,6 +25,8 @@ from cadenza.llm.common import slices, worker_cache
 SAMPLE_ROWS, MAX_LABELS, LANDMARKS = 1600, 256, 192
 RIDGE = 1e-3
 UNDETERMINED = "und"
+#: Score under which a text's language is rejected: one label's share if nothing speaks for any, and a little.
+MIN_SCORE = 0.3
 #: Factor from ridge outputs (targets -1 and 1) to the soft-max whose largest term is the score.
 SHARPNESS = 2.0
 
@@ -193,3 +195,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
                         score(F.col(text_col).cast("string")).alias("p"))
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
+
+
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text",
+                    label_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is determined with a score of ``min_score`` or more.
+
+    Learned as in ``identify``. Null texts and texts without a letter go; short clean texts stay. Without a label
+    in the table nothing can be rejected but those.
+    """
+    model = fit(docs.where(~held_out(id_col)), id_col, text_col, label_col)
+    if not model.labels:
+        return docs.where(F.col(text_col).rlike("\\p{L}"))
+    p = predict(model, docs.sparkSession)(F.col(text_col).cast("string"))
+    found = docs.withColumn("__p", p).where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.score") >= min_score))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
