@@ -129,8 +129,7 @@ def test_sep_parse(spark):
     assert [(r["line"], r["n_fields"]) for r in rej.collect()] == [("x<SEP>y", 2)]
 
 
-def test_balance_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(S, "COPY_CHUNK", 3)
+def test_balance_many_copies(spark):
     rows = [(i, "a" if i < 20 else "b", f"x{i}") for i in range(21)]
     df = spark.createDataFrame(rows, "k long, mood string, lyrics string")
     out = S.balance_classes(df, "mood", F.col("k"))
@@ -196,3 +195,39 @@ def test_histogram_degenerate_range(spark):
     counts = spark.createDataFrame([("a", 5), ("b", 5)], "tag string, n_songs long")
     rows = {r["bin"]: r["n"] for r in T.tag_histogram(counts).collect()}
     assert rows[0] == 2 and sum(rows.values()) == 2 and len(rows) == 10
+
+
+def test_null_class_is_balanced_and_cut(spark):
+    """NULL is a class of its own: its rows stay, are oversampled, and are cut like any other."""
+    rows = [(i, "a" if i < 8 else None, f"l{i}\nm{i}") for i in range(11)]
+    df = spark.createDataFrame(rows, "k long, mood string, lyrics string")
+    out = S.balance_classes(df, "mood", F.col("k")).collect()
+    assert sum(r["mood"] is None for r in out) == sum(r["mood"] == "a" for r in out) == 8
+    assert sorted(r["k"] for r in out if r["copy"] == 0) == list(range(11))
+    cut = S.seeded_cut(df, F.col("k"), 1, ["in", "out"], lambda off: [F.floor(F.col("_t") / 2)], partition=["mood"]).collect()
+    assert sum(r["mood"] is None and r["cut"] == "in" for r in cut) == 1
+    assert sum(r["mood"] == "a" and r["cut"] == "in" for r in cut) == 4
+    kept = S.downsample_class(df, "mood", "a", F.col("k")).collect()
+    assert sum(r["mood"] is None for r in kept) == 3 and sum(r["mood"] == "a" for r in kept) == 4
+
+
+def test_cut_in_one_bucket_and_beyond_the_end(spark):
+    df = spark.range(20).withColumnRenamed("id", "k")
+    for thr, want in ((0, 0), (7, 7), (20, 20), (99, 20)):
+        cut = S.seeded_cut(df, F.col("k"), 3, ["in", "out"], lambda off, thr=thr: [F.lit(thr)], hex_digits=1)
+        assert cut.where("cut = 'in'").count() == want
+    assert S.seeded_cut(df.limit(0), F.col("k"), 3, ["in", "out"], lambda off: [F.lit(1)]).collect() == []
+
+
+def test_split_does_not_shuffle_wide_rows(spark):
+    """With static broadcasts off no exchange above the scan carries the text."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+        for out in (S.three_way_split(d, F.col("doc_id")), S.balance_classes(d, "lang", F.col("doc_id"), "text"),
+                    S.downsample_class(d, "lang", "en", F.col("doc_id"))):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not [x for x in plan.split("\n") if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
