@@ -154,21 +154,17 @@ def label_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     the mood is the first mood (lexicon order) holding that term.
 
     One join to a per-tag table (one row per tag) and one aggregation keyed
-    by song give both ``found_tags`` and the first hit. The first hit is a
-    plain ``min`` over ``tag_ord << 6 | mood_ord`` (a long), so the
-    aggregate stays hash-based; the mood name is read back from its ordinal.
+    by song give both ``found_tags`` and the first hit, the smallest
+    ``(tag_ord, mood_ord)`` of any range.
     ``(tid_id, tid, found_tags, matched_mood, mood)``."""
     spark = store.tags.sparkSession
     moods = lex.moods_exact_order
-    if len(moods) >= 64:
-        raise ValueError("at most 63 moods")
     exact = F.broadcast(exact_terms_df(spark, lex))
     tag_moods = (store.tags.join(exact, F.col("tag") == F.col("term"))
                  .groupBy("tag_id").agg(F.min("mood_ord").alias("mood_ord")))
     per_tag = store.tags.select("tag_id").join(tag_moods, "tag_id", "left")
     rows = store.tid_tag.join(per_tag, "tag_id")
-    key = F.when(F.col("mood_ord").isNotNull(),
-                 F.shiftleft(F.col("tag_ord").cast("long"), 6) + F.col("mood_ord"))
+    key = F.when(F.col("mood_ord").isNotNull(), F.struct("tag_ord", "mood_ord"))
     per_song = rows.groupBy("tid_id").agg(F.count(F.lit(1)).alias("found_tags"),
                                           F.min(key).alias("first"))
     names = F.array(*[F.lit(m) for m in moods])
@@ -176,7 +172,7 @@ def label_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     # guard the lookup: element_at over a literal array with a NULL index is
     # not reliably NULL in generated code
     mood = F.when(F.col("first").isNotNull(),
-                  F.element_at(names, (F.col("first").bitwiseAND(F.lit(63))).cast("int")))
+                  F.element_at(names, F.col("first.mood_ord").cast("int")))
     return out.select(
         "tid_id", "tid",
         F.coalesce("found_tags", F.lit(0)).cast("int").alias("found_tags"),

@@ -16,12 +16,24 @@ UNKNOWN_WORD = "UNK"
 
 
 def token_stream(docs: DataFrame, tokens: Column, doc_col: str = "doc_id",
-                 drop_pad: bool = True) -> DataFrame:
+                 drop_pad: bool = True, keep_empty: bool = False) -> DataFrame:
     """flatten per-document token arrays to ``(doc_id, pos, word)``.
-    ``<PAD>`` tokens are dropped (the stream is for counting and training)."""
-    s = docs.select(F.col(doc_col).alias("doc_id"),
-                    F.posexplode(tokens).alias("pos", "word"))
-    return s.where(F.col("word") != PAD) if drop_pad else s
+    ``<PAD>`` tokens are dropped (the stream is for counting and training).
+    ``keep_empty`` keeps a document without tokens as one row of NULLs."""
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    s = docs.select(F.col(doc_col).alias("doc_id"), explode(tokens).alias("pos", "word"))
+    return s.where(F.col("word").isNull() | (F.col("word") != PAD)) if drop_pad else s
+
+
+def document_counts(docs: DataFrame, tokens: Column, doc_col: str = "doc_id") -> DataFrame:
+    """``(doc_id, word, n, pos)``: each document's words, how often and where
+    first; a document without tokens has one row of NULLs (n = 0).
+
+    The documents are dealt by id before they are exploded: no exchange of
+    token rows."""
+    d = docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t")).repartition("doc_id")
+    s = d.select("doc_id", F.posexplode_outer("_t").alias("pos", "word"))
+    return s.groupBy("doc_id", "word").agg(F.count("word").alias("n"), F.min("pos").alias("pos"))
 
 
 def word_frequency(stream: DataFrame) -> DataFrame:
@@ -29,21 +41,15 @@ def word_frequency(stream: DataFrame) -> DataFrame:
     return stream.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-POS_BITS = 23  # first-seen keys pack (doc_id, pos) into one long
-
-
 def _first_seen(stream: DataFrame) -> Column:
-    """Orderable first-appearance key of a token row.
+    """Orderable first-appearance key ``(doc_id, pos)`` of a token row.
 
-    For integral document ids it is ``doc_id << 23 | pos`` - a plain long,
-    so the count + min aggregate stays a fast hash aggregate; ids or
-    positions outside the packable range raise an error instead of ordering
-    wrongly. Other id types fall back to a (doc_id, pos) struct."""
+    For integral document ids it is the exact number ``doc_id * 2^32 + pos``
+    as a decimal, which holds every long and position and keeps the count +
+    min aggregate a hash aggregate; other id types use a struct."""
     if isinstance(stream.schema["doc_id"].dataType, (T.LongType, T.IntegerType, T.ShortType)):
-        ok = (F.col("doc_id") >= 0) & (F.col("doc_id") < F.lit(1 << (62 - POS_BITS))) & (
-            F.col("pos") < F.lit(1 << POS_BITS))
-        packed = F.shiftleft(F.col("doc_id").cast("long"), POS_BITS) + F.col("pos")
-        return F.when(ok, packed).otherwise(F.raise_error(F.lit("doc_id/pos out of packable range")).cast("long"))
+        return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)")
+                + F.col("pos").cast("decimal(10,0)"))
     return F.struct("doc_id", "pos")
 
 
@@ -52,9 +58,12 @@ def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
     outside the vocabulary, then the ``vocab_size - 1`` most frequent words,
     ties by first appearance ``(doc_id, pos)``.
 
-    The ranking is a distributed top-k (TakeOrderedAndProject) of size
-    vocab_size - 1; only that bounded result gets a row_number."""
-    counts = stream.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(_first_seen(stream)).alias("first"))
+    ``stream`` may be counted already: rows ``(doc_id, word, n, pos)`` with
+    the word's first position in the document. The ranking is a distributed
+    top-k (TakeOrderedAndProject) of size vocab_size - 1; only that bounded
+    result gets a row_number."""
+    n = F.sum("n") if "n" in stream.columns else F.count(F.lit(1))
+    counts = stream.groupBy("word").agg(n.alias("n"), F.min(_first_seen(stream)).alias("first"))
     top = counts.orderBy(F.desc("n"), F.asc("first")).limit(vocab_size - 1)
     ranked = top.select(
         F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first"))).cast("int").alias("word_id"),
@@ -70,24 +79,28 @@ def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
 
 def encode_stream(stream: DataFrame, vocab: DataFrame, pad_as_zero: bool = True) -> DataFrame:
     """J9 on a stream: ``(doc_id, pos, word_id)``; unknown words (and '<PAD>')
-    map to 0. The vocabulary has at most ``vocab_size`` rows (a parameter),
-    so it is broadcast."""
-    v = F.broadcast(vocab.where(F.col("word_id") > 0).select("word", "word_id"))
+    map to 0, a NULL word (a document without tokens) to NULL. The size of
+    the vocabulary decides the join at run time."""
+    v = vocab.where(F.col("word_id") > 0).select("word", "word_id")
     return stream.join(v, "word", "left").select(
-        "doc_id", "pos", F.coalesce("word_id", F.lit(0)).alias("word_id"))
+        "doc_id", "pos", F.when(F.col("word").isNotNull(), F.coalesce("word_id", F.lit(0))).alias("word_id"))
 
 
 def encode_docs(docs: DataFrame, tokens: Column, vocab: DataFrame,
                 doc_col: str = "doc_id") -> DataFrame:
-    """Per document the id array (same length as the token array)."""
-    s = token_stream(docs, tokens, doc_col, drop_pad=False)
+    """Per document the id array (same length as the token array, empty
+    for a document without tokens).
+
+    The documents are dealt by id before they are exploded, so their tokens
+    come back together without another exchange of token rows."""
+    s = (docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t")).repartition("doc_id")
+         .select("doc_id", F.posexplode_outer("_t").alias("pos", "word")))
     enc = encode_stream(s, vocab)
+    pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "word_id")))
     return enc.groupBy("doc_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "word_id"))),
-                    lambda x: x["word_id"]).alias("ids"))
+        F.transform(F.array_sort(pairs), lambda x: x["word_id"]).alias("ids"))
 
 
 def decode_stream(ids: DataFrame, vocab: DataFrame) -> DataFrame:
     """``(doc_id, pos, word_id)`` -> + word (reverse lookup)."""
-    v = F.broadcast(vocab.select("word_id", "word"))
-    return ids.join(v, "word_id", "left")
+    return ids.join(vocab.select("word_id", "word"), "word_id", "left")

@@ -22,9 +22,10 @@ class TagStore:
 
     tids(tid_id bigint, tid string)
     tags(tag_id bigint, tag string)
-    tid_tag(tid_id bigint, tag_id bigint, val double, tag_ord bigint)
-    ``tag_ord`` is the row order the store returns a song's tags in; the
-    first-tag-wins rule needs it, and a plain table has no row order.
+    tid_tag(tid_id bigint, tag_id bigint, val double, tag_ord)
+    ``tag_ord`` is the row order the store returns a song's tags in (any
+    orderable type; here a pair); the first-tag-wins rule needs it, and a
+    plain table has no row order.
     """
 
     tids: DataFrame
@@ -32,14 +33,6 @@ class TagStore:
     tid_tag: DataFrame
 
 
-def _tag_order(line, part):
-    """(line, part) packed into one long, ordered like the pair; values out
-    of the packable range raise instead of mis-ordering."""
-    ok = (line >= 0) & (line < F.lit(1 << 16)) & (part >= 0) & (part < F.lit(1 << 40))
-    packed = F.shiftleft(line.cast("long"), 40) + part.cast("long")
-    return F.when(ok, packed).otherwise(F.raise_error(F.lit("tag order out of range")).cast("long"))
-
-
 def tag_store(spark: SparkSession, sf_dir: str) -> TagStore:
     """Tag store over the driver tables: orders = tids, part = tags,
     lineitem = tid_tag (song = order, tag = part name, val = quantity)."""
@@ -53,7 +46,7 @@ def tag_store(spark: SparkSession, sf_dir: str) -> TagStore:
         F.col("l_orderkey").alias("tid_id"),
         F.col("l_partkey").alias("tag_id"),
         F.col("l_quantity").alias("val"),
-        _tag_order(F.col("l_linenumber"), F.col("l_partkey")).alias("tag_ord"),
+        F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")).alias("tag_ord"),
     )
     return TagStore(tids, tags, tid_tag)
 
