@@ -38,8 +38,12 @@ STOP_WORDS = [
 PUNCTUATION = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PAD = "<PAD>"
 
+# White space as str.split() has it: ASCII blanks and controls, the four
+# information separators, NEL, and every Unicode space, line or paragraph mark.
+BLANK = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+
 # Word / punctuation runs (Unicode letters, digits, underscore vs the rest).
-WORDPUNCT_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
+WORDPUNCT_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0B\x1C-\x1F\x85\p{Z}]+"
 
 # Ordered rewrite rules of the Penn-Treebank-style word
 # tokeniser, applied to ' ' + text + ' ' before splitting on white space.
@@ -63,13 +67,16 @@ TREEBANK_RULES: list[tuple[str, str]] = [
     (r"\b(gim|lem)(me)\b", r"$1 $2"),
     (r"\b(gon|wan)(na)\b", r"$1 $2"),
     (r"\b(got)(ta)\b", r"$1 $2"),
+    (r"\b(more)('n)\b", r"$1 $2"),
+    (r"\b(d)('ye)\b", r"$1 $2"),
+    (r" ('t)(is|was)\b", r" $1 $2"),
 ]
 
 
 def word_count(text: Column) -> Column:
     """number of white-space separated words (``len(text.split())``):
     the count of maximal non-space runs, counted without building an array."""
-    return F.regexp_count(text, F.lit(r"\S+")).cast("int")
+    return F.regexp_count(text, F.lit(f"[^{BLANK}]+")).cast("int")
 
 
 def safe_file_name(artist: Column, title: Column) -> Column:
@@ -109,6 +116,9 @@ TREEBANK_GUARDS: dict[str, list[str]] = {
     r"\b(gim|lem)(me)\b": ["gimme", "lemme"],
     r"\b(gon|wan)(na)\b": ["gonna", "wanna"],
     r"\b(got)(ta)\b": ["gotta"],
+    r"\b(more)('n)\b": ["more'n"],
+    r"\b(d)('ye)\b": ["d'ye"],
+    r" ('t)(is|was)\b": [" 't"],
 }
 
 
@@ -124,7 +134,7 @@ def treebank_tokens(text: Column) -> Column:
     t = F.concat(F.lit(" "), text, F.lit(" "))
     for pattern, repl in TREEBANK_RULES:
         t = _let(t, _rule(pattern, repl, TREEBANK_GUARDS.get(pattern)))
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(t, f"[{BLANK}]+"), lambda w: w != "")
 
 
 def _rule(pattern: str, repl: str, guards: list[str] | None):
@@ -141,7 +151,7 @@ def _rule(pattern: str, repl: str, guards: list[str] | None):
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{BLANK}]+"), lambda w: w != "")
 
 
 # Tokeniser registry, id <-> function.
@@ -150,6 +160,10 @@ TOKENIZER_NAMES = {"none": 0, "treebank": 1, "wordpunct": 2}
 
 
 def tokenizer(which) -> callable:
+    """A tokeniser by id or name, or the caller's own: a function from a text
+    Column to an array<string> Column (with a UDF inside, if it must)."""
+    if callable(which):
+        return which
     if isinstance(which, str):
         which = TOKENIZER_NAMES[which]
     return TOKENIZERS[which]

@@ -1,11 +1,10 @@
-"""Metric queries (A18-A23, A25, F13, F14) and MLlib model queries (M3-M7,
-M10; rows-only: fitted models have no SQL oracle)."""
+"""Metric queries (A18-A23, A25, F13, F14) and model queries (M3-M7, M10;
+the MLlib ones are rows-only: their fits have no SQL oracle)."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as TX
@@ -16,8 +15,9 @@ from cadenza.operators import sampling as S
 from cadenza.operators import vectors as VE
 from cadenza.operators import vocab as V
 from cadenza.registry.base import query
-from cadenza.registry.vectors import _LANGID_SQL, _langid
-from cadenza.session import scratch_path, shared_dir
+from cadenza.registry.vectors import _LANGID_SQL, _TFIDF_SQL, _langid, split_tfidf
+from cadenza.session import scratch_path
+from cadenza.sources.sinks import materialise
 from cadenza.sources.tables import read_table
 
 _PAIRS_SQL = """pairs AS (SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label,
@@ -106,17 +106,57 @@ def q_langid_confusion(spark, sf):
     return ME.confusion_long(p, "lang", "predicted")
 
 
+_GAPS_SQL = """pairs AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unsure' WHEN quality = 1 THEN 'good' ELSE 'bad' END AS label,
+                        CASE WHEN doc_id % 11 = 0 THEN 'junk' WHEN toxic = 1 THEN 'bad' ELSE 'good' END AS prediction FROM labels)"""
+_GAP_CM_SQL = _CM_SQL.replace(_PAIRS_SQL, _GAPS_SQL)
+
+
+def _gap_pairs(spark, sf):
+    """'unsure' is a label that is never predicted, 'junk' a prediction that is never true."""
+    l = read_table(spark, sf, "labels")
+    return l.select("doc_id", F.when(F.col("doc_id") % 7 == 0, "unsure").when(F.col("quality") == 1, "good")
+                    .otherwise("bad").alias("label"),
+                    F.when(F.col("doc_id") % 11 == 0, "junk").when(F.col("toxic") == 1, "bad").otherwise("good")
+                    .alias("prediction"))
+
+
+_F1_SQL = """CASE WHEN col_sum = 0 OR row_sum = 0 THEN NULL WHEN tp = 0 THEN 0.0
+     ELSE round(2 * ((tp / col_sum) * (tp / row_sum)) / ((tp / col_sum) + (tp / row_sum)), 5) END"""
+
+
+@query("per_class_scores_gaps", "WITH " + _GAP_CM_SQL.split("WITH ", 1)[1] + f"""
+SELECT label AS cls, round(tp / nullif(col_sum, 0), 5) AS precision, round(tp / nullif(row_sum, 0), 5) AS recall,
+       round((tp + (diag - tp)) / (tp + (diag - tp) + (col_sum - tp) + (row_sum - tp)), 5) AS accuracy, {_F1_SQL} AS f1 FROM mg""")
+def q_per_class_scores_gaps(spark, sf):
+    """A20 where a class is never predicted and another never true: NULL, not an error."""
+    return ME.per_class_scores(ME.confusion_long(_gap_pairs(spark, sf)))
+
+
+@query("per_class_report_gaps", "WITH " + _GAP_CM_SQL.split("WITH ", 1)[1] + """
+SELECT label AS cls, CAST(row_sum AS BIGINT) AS total, CAST(tp AS BIGINT) AS correct,
+       round(tp / nullif(row_sum, 0) * 100, 5) AS pct, CAST(col_sum - tp AS BIGINT) AS incorrect FROM mg
+UNION ALL SELECT 'TOTAL', CAST(sum(row_sum) AS BIGINT), CAST(sum(tp) AS BIGINT), round(sum(tp) / sum(row_sum) * 100, 5),
+       CAST(sum(col_sum - tp) AS BIGINT) FROM mg""")
+def q_per_class_report_gaps(spark, sf):
+    """A19 with a class that has no true rows."""
+    return ME.per_class_report(ME.confusion_long(_gap_pairs(spark, sf)))
+
+
 @query("f1_by_run", _CM_SQL + """,
-f_pairs AS (SELECT label AS cls, round(2 * ((tp / col_sum) * (tp / row_sum)) / ((tp / col_sum) + (tp / row_sum)), 5) AS f1 FROM mg)
-SELECT cls, f1 AS quality_vs_toxic, f1 AS swapped FROM f_pairs""")
+a AS (SELECT label AS cls, """ + _F1_SQL + """ AS f1 FROM mg),
+""" + _GAP_CM_SQL.split("WITH ", 1)[1].replace("pairs", "gpairs").replace("cls AS", "gcls AS").replace("FROM cls", "FROM gcls")
+       .replace("JOIN cls", "JOIN gcls").replace("counts", "gcounts").replace("cm AS", "gcm AS").replace("FROM cm", "FROM gcm")
+       .replace("m AS (SELECT label, sum", "gm AS (SELECT label, sum").replace("c AS (SELECT prediction", "gc AS (SELECT prediction")
+       .replace("mg AS", "gmg AS").replace("FROM m JOIN c ON m.label = c.label", "FROM gm m JOIN gc c ON m.label = c.label") + """,
+b AS (SELECT label AS cls, """ + _F1_SQL + """ AS f1 FROM gmg)
+SELECT coalesce(a.cls, b.cls) AS cls, coalesce(a.f1, -1) AS two_classes, coalesce(b.f1, -1) AS with_gaps
+FROM a FULL JOIN b ON a.cls = b.cls""")
 def q_f1_by_run(spark, sf):
-    """F1 per class for two runs side by side (-1 where a run lacks a class).
-    The second run swaps label and prediction (F1 is symmetric)."""
-    p = _pairs(spark, sf)
-    a = ME.confusion_long(p).withColumn("run", F.lit("quality_vs_toxic"))
-    b = ME.confusion_long(p.select(F.col("prediction").alias("label"),
-                                   F.col("label").alias("prediction"))).withColumn("run", F.lit("swapped"))
-    return ME.f1_by_run(a.unionByName(b), ["quality_vs_toxic", "swapped"])
+    """F1 per class for two runs side by side, -1 where a run lacks the
+    class (two classes only) or never predicts it."""
+    a = ME.confusion_long(_pairs(spark, sf)).withColumn("run", F.lit("two_classes"))
+    b = ME.confusion_long(_gap_pairs(spark, sf)).withColumn("run", F.lit("with_gaps"))
+    return ME.f1_by_run(a.unionByName(b), ["two_classes", "with_gaps"])
 
 
 @query("loss_windows", """
@@ -147,51 +187,75 @@ def q_one_hot(spark, sf):
                         VE.arg_max(oh).alias("decoded"))
 
 
-# ------------------------------------------------------------ MLlib (rows-only)
+# ------------------------------------------------------------ models
 
-def _doc_splits(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    return S.three_way_split(d, F.col("doc_id"), seed=42)
+_NB_SQL = _TFIDF_SQL + """,
+x AS (SELECT f.*, s.lang AS label, s.split FROM f JOIN split s ON f.doc_id = s.doc_id),
+cs AS (SELECT label AS class, term, sum(tfidf) AS s FROM x WHERE split = 'train' GROUP BY 1, 2),
+vv AS (SELECT count(DISTINCT term) AS v FROM x WHERE split = 'train'),
+tot AS (SELECT class, sum(s) AS total FROM cs GROUP BY 1),
+pr AS (SELECT lang AS class, ln(count(*) / (SELECT count(*) FROM split WHERE split = 'train')) AS prior
+       FROM split WHERE split = 'train' GROUP BY 1),
+hh AS (SELECT x.doc_id, cs.class, sum(x.tfidf * ln((cs.s + 1) / 1)) AS h FROM x JOIN cs ON x.term = cs.term GROUP BY 1, 2),
+ww AS (SELECT doc_id, sum(tfidf) AS w FROM x GROUP BY 1),
+sc AS (SELECT s.doc_id, s.split, s.lang AS label, pr.class,
+              pr.prior + coalesce(hh.h, 0) - coalesce(ww.w, 0) * ln(coalesce(tot.total, 0) + vv.v) AS score
+       FROM split s JOIN pr ON TRUE JOIN vv ON TRUE LEFT JOIN tot ON tot.class = pr.class
+       LEFT JOIN ww ON ww.doc_id = s.doc_id LEFT JOIN hh ON hh.doc_id = s.doc_id AND hh.class = pr.class)"""
 
 
-@query("nb_predict")
+def _naive_bayes(spark, sf):
+    """(split documents, long class scores) of the naive Bayes model fitted on train."""
+    docs, features = split_tfidf(spark, sf)
+    features = materialise(features.withColumn("is_train", F.col("split") == "train"), "features")
+    return docs, MO.naive_bayes(features, docs.where("split = 'train'"), docs)
+
+
+@query("nb_predict", _NB_SQL + """
+SELECT doc_id, split, label, class AS predicted FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS r FROM sc) WHERE r = 1""")
 def q_nb_predict(spark, sf):
     """M3 + M7: multinomial naive Bayes on TF-IDF, fitted on train, every split scored."""
-    sp = _doc_splits(spark, sf)
-    model = MO.fit_text_classifier(sp.where(F.col("split") == "train"), "nb")
-    return MO.predict_labels(model, sp).select("doc_id", "split", "label", "predicted")
+    docs, scores = _naive_bayes(spark, sf)
+    return docs.join(MO.best_class(scores), "doc_id", "left").select("doc_id", "split", "label", "predicted")
+
+
+@query("cross_entropy", _NB_SQL + """,
+z AS (SELECT doc_id, ln(sum(exp(score - m))) + any_value(m) AS z FROM (
+        SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc) GROUP BY doc_id)
+SELECT split, round(avg(z.z - score), 5) AS cross_entropy FROM sc JOIN z ON sc.doc_id = z.doc_id
+WHERE class = label GROUP BY split""")
+def q_cross_entropy(spark, sf):
+    """Mean -ln p(true class) of the naive Bayes model per split."""
+    docs, scores = _naive_bayes(spark, sf)
+    loss = MO.log_loss(materialise(scores, "scores"), docs)
+    return docs.join(loss, "doc_id").groupBy("split").agg(F.round(F.avg("loss"), 5).alias("cross_entropy"))
+
+
+def _doc_splits(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return S.three_way_split(d, F.col("doc_id"), seed=42)
 
 
 @query("svm_predict")
 def q_svm_predict(spark, sf):
-    """M4 + M7: one-vs-rest linear SVM on TF-IDF."""
+    """M4 + M7: one-vs-rest linear SVM on M2's features."""
     sp = _doc_splits(spark, sf)
-    model = MO.fit_text_classifier(sp.where(F.col("split") == "train"), "svm")
+    model = MO.fit_svm(sp.where(F.col("split") == "train"))
     return MO.predict_labels(model, sp).select("doc_id", "split", "label", "predicted")
 
 
-@query("cross_entropy")
-def q_cross_entropy(spark, sf):
-    """Mean -ln p(true class) of the naive Bayes model per split."""
-    sp = _doc_splits(spark, sf)
-    model = MO.fit_text_classifier(sp.where(F.col("split") == "train"), "nb")
-    out = model.transform(MO._with_tokens(sp, "text"))
-    p = vector_to_array(F.col("probability"))
-    return out.groupBy("split").agg(
-        F.avg(-F.log(F.greatest(F.element_at(p, F.col("label_idx").cast("int") + 1), F.lit(1e-300))))
-        .alias("cross_entropy"))
-
-
 def _w2v(spark, sf, dim=32):
-    shared_dir(spark)
+    """(stored tokens, word vectors): skip-gram over the W3 vocabulary, other words as UNK."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    toks = d.select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens"))
-    return toks, MO.fit_word2vec(toks, "tokens", dim=dim, window=4, min_count=2, iters=1)
+    toks = materialise(d.select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens")
+    vocab = materialise(V.vocabulary(V.token_stream(toks, F.col("tokens")), 10_000), "vocabulary")
+    return toks, materialise(MO.fit_word2vec(toks, "tokens", vocab, dim=dim, window=4, iters=1), "vectors")
 
 
 @query("word2vec_vectors")
 def q_word2vec_vectors(spark, sf):
-    """M5: skip-gram word vectors (normalised)."""
+    """M5: skip-gram word vectors (normalised) of the vocabulary and UNK."""
     _, vecs = _w2v(spark, sf)
     return vecs.select("word", F.array_join(F.transform("vec", lambda x: F.format_number(x, 5)), ",")
                        .alias("vec_text"))
@@ -199,22 +263,19 @@ def q_word2vec_vectors(spark, sf):
 
 @query("pooled_mlp_predict")
 def q_pooled_mlp_predict(spark, sf):
-    """M6 re-aimed: mean-pooled word vectors -> multilayer perceptron."""
-    dim = 32
+    """M6 re-aimed: window means of 3, 4 and 5 word vectors, the largest per
+    dimension -> multilayer perceptron. Every document is scored."""
+    dim, sizes = 16, (3, 4, 5)
     toks, vecs = _w2v(spark, sf, dim)
-    stream = V.token_stream(toks, F.col("tokens"))
-    feats = MO.pooled_features(stream, vecs, dim)
     lab = _doc_splits(spark, sf).select("doc_id", "split", "label")
-    # cut the lineage before the iterative fit: every optimiser pass would
-    # otherwise re-run tokenising, pooling and the join
-    data = feats.join(lab, "doc_id").checkpoint(eager=True)
-    n_cls = len(LI.languages(data.where(F.col("split") == "train"), "label"))
-    model = MO.fit_mlp(data.where(F.col("split") == "train"), dim, n_cls)
+    # stored before the iterative fit: every optimiser pass would otherwise redo the windows
+    data = materialise(MO.window_features(toks, "tokens", vecs, dim, sizes).join(lab, "doc_id"), "windows")
+    train = data.where("split = 'train' AND label IS NOT NULL")
+    model = MO.fit_mlp(train, dim * len(sizes), len(LI.languages(train, "label")))
     labels = model.stages[0].labelsArray[0]
-    out = model.transform(data)
     names = F.array(*[F.lit(x) for x in labels])
-    return out.select("doc_id", "split", "label",
-                      F.element_at(names, F.col("prediction").cast("int") + 1).alias("predicted"))
+    return model.transform(data).select("doc_id", "split", "label", F.try_element_at(
+        names, F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
 @query("embedding_pca")

@@ -6,8 +6,12 @@ from cadenza.functions.text import PUNCTUATION, STOP_WORDS, TREEBANK_RULES, WORD
 from cadenza.registry.base import _lit
 
 
+# White space of str.split(), in this engine's regex dialect.
+BLANKS_SQL = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
+
+
 def word_count_sql(col: str) -> str:
-    return f"CAST(len(list_filter(regexp_split_to_array({col}, '\\s+'), lambda w: w <> '')) AS INTEGER)"
+    return f"CAST(len(list_filter(regexp_split_to_array({col}, '{BLANKS_SQL}'), lambda w: w <> '')) AS INTEGER)"
 
 
 def file_name_sql(artist: str, title: str) -> str:
@@ -24,11 +28,11 @@ def treebank_sql(text: str) -> str:
     for pattern, repl in TREEBANK_RULES:
         r = repl.replace("$1", "\\1").replace("$2", "\\2").replace("$3", "\\3")
         t = f"regexp_replace({t}, {_lit(pattern)}, {_lit(r)}, 'g')"
-    return f"list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({t}, '{BLANKS_SQL}'), lambda w: w <> '')"
 
 
 def wordpunct_sql(text: str) -> str:
-    return f"regexp_extract_all({text}, {_lit(WORDPUNCT_PATTERN)})"
+    return f"regexp_extract_all({text}, {_lit(WORDPUNCT_PATTERN.replace('x0B', 'x{0B}').replace('x1C-', 'x{1C}-').replace('x1F', 'x{1F}').replace('x85', 'x{85}'))})"
 
 
 def stop_list_sql(remove_stop=True, remove_punc=True) -> str:

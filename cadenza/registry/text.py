@@ -10,6 +10,7 @@ from cadenza.operators import frames as FR
 from cadenza.operators import vocab as V
 from cadenza.registry.base import query
 from cadenza.registry.sqlparts import preprocess_sql, word_count_sql
+from cadenza.sources.sinks import materialise
 from cadenza.sources.tables import read_table
 
 VOCAB_SIZE = 1000
@@ -91,16 +92,31 @@ def _stream(spark, sf):
     return V.token_stream(d, TX.preprocess(F.col("text"), "treebank"))
 
 
-@query("word_frequency", "WITH " + _STREAM_SQL + "\nSELECT word, count(*) AS n FROM stream GROUP BY word")
+_WORDS_SQL = """WITH words AS (SELECT unnest(list_filter(regexp_split_to_array(text, '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+'),
+                                             lambda w: w <> '')) AS word FROM documents)"""
+
+
+def _words(spark, sf):
+    """White-space words as they stand: case and stop words kept."""
+    return V.token_stream(_docs(spark, sf), TX.whitespace_tokens(F.col("text")), drop_pad=False)
+
+
+@query("word_frequency", _WORDS_SQL + "\nSELECT word, count(*) AS n FROM words GROUP BY word")
 def q_word_frequency(spark, sf):
-    """A3: word frequencies over the whole corpus."""
-    return V.word_frequency(_stream(spark, sf))
+    """A3: white-space word frequencies over the whole corpus."""
+    return V.word_frequency(_words(spark, sf))
 
 
-@query("unique_words", "WITH " + _STREAM_SQL + "\nSELECT count(DISTINCT word) AS n_unique FROM stream")
+@query("unique_words", _WORDS_SQL + "\nSELECT count(DISTINCT word) AS n_unique FROM words")
 def q_unique_words(spark, sf):
-    """A4: number of distinct words."""
-    return _stream(spark, sf).agg(F.count_distinct("word").alias("n_unique"))
+    """A4: number of distinct white-space words."""
+    return _words(spark, sf).agg(F.count_distinct("word").alias("n_unique"))
+
+
+@query("token_frequency", "WITH " + _STREAM_SQL + "\nSELECT word, count(*) AS n FROM stream GROUP BY word")
+def q_token_frequency(spark, sf):
+    """A3 over the preprocessed tokens (lower-cased, without stop words)."""
+    return V.word_frequency(_stream(spark, sf))
 
 
 @query("documents_read", "SELECT count(*) FILTER (WHERE length(text) > 0) AS n_read, count(*) AS n_docs FROM documents")
@@ -119,13 +135,15 @@ def q_vocabulary(spark, sf):
 @query("encode_tokens", "WITH " + _VOCAB_SQL + """,
 enc AS (SELECT s.doc_id, s.pos, coalesce(v.word_id, 0) AS word_id
         FROM stream s LEFT JOIN (SELECT * FROM vocab WHERE word_id > 0) v ON s.word = v.word)
-SELECT doc_id, array_to_string(list(word_id ORDER BY pos), ' ') AS ids_text FROM enc GROUP BY doc_id""")
+SELECT d.doc_id, coalesce(e.ids_text, '') AS ids_text FROM documents d
+LEFT JOIN (SELECT doc_id, array_to_string(list(word_id ORDER BY pos), ' ') AS ids_text FROM enc GROUP BY doc_id) e
+ON d.doc_id = e.doc_id""")
 def q_encode_tokens(spark, sf):
-    """Per document the vocabulary ids (unknown -> 0), in token order."""
-    d = _docs(spark, sf)
-    toks = TX.preprocess(F.col("text"), "treebank")
-    vocab = V.vocabulary(V.token_stream(d, toks), VOCAB_SIZE)
-    enc = V.encode_docs(d, toks, vocab)
+    """Per document the vocabulary ids (unknown -> 0), in token order; a
+    document without tokens has none. Texts are tokenised once, into a stored table."""
+    toks = materialise(_docs(spark, sf).select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens")
+    vocab = V.vocabulary(V.token_stream(toks, F.col("tokens")), VOCAB_SIZE)
+    enc = V.encode_docs(toks, F.col("tokens"), vocab)
     return enc.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids_text"))
 
 

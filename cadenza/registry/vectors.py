@@ -14,6 +14,7 @@ from cadenza.operators import vocab as V
 from cadenza.registry.base import query
 from cadenza.registry.songs import _SPLIT_SQL
 from cadenza.registry.text import _VOCAB_SQL, VOCAB_SIZE, _STREAM_SQL
+from cadenza.sources.sinks import materialise
 from cadenza.sources.tables import read_table
 
 DIM = 64
@@ -63,16 +64,20 @@ def q_nearest_k(spark, sf):
 @query("embedding_lookup", "WITH " + _VOCAB_SQL + f""",
 enc AS (SELECT s.doc_id, s.pos, coalesce(v.word_id, 0) AS word_id
         FROM stream s LEFT JOIN (SELECT * FROM vocab WHERE word_id > 0) v ON s.word = v.word),
-j AS (SELECT e.doc_id, m.embedding FROM enc e JOIN embeddings m ON e.word_id = m.vec_id)
-SELECT doc_id, count(*) AS n_hits,
+j AS (SELECT e.doc_id, m.embedding FROM enc e JOIN embeddings m ON e.word_id = m.vec_id),
+p AS (SELECT doc_id, count(*) AS n_hits,
        {", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 5) AS e{i}" for i in range(DIM))}
-FROM j GROUP BY doc_id""")
+      FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(p.n_hits, 0) AS n_hits, {", ".join(f"p.e{i}" for i in range(DIM))}
+FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id""")
 def q_embedding_lookup(spark, sf):
-    """Token ids -> embedding rows, mean-pooled per document."""
+    """Token ids -> embedding rows, mean-pooled per document; a document
+    without a hit stays. Texts are tokenised once, into stored counts."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    s = V.token_stream(d, TX.preprocess(F.col("text"), "treebank"))
-    vocab = V.vocabulary(s, VOCAB_SIZE)
-    enc = V.encode_stream(s, vocab)
+    counts = materialise(V.document_counts(d, TX.preprocess(F.col("text"), "treebank")), "words")
+    vocab = V.vocabulary(counts.where(F.col("word").isNotNull()), VOCAB_SIZE).select("word", "word_id").where("word_id > 0")
+    enc = counts.join(vocab, "word", "left").select(
+        "doc_id", F.when(F.col("word").isNotNull(), F.coalesce("word_id", F.lit(0))).alias("word_id"), "n")
     pooled = VE.mean_pool(enc, _emb(spark, sf), "vec_id", "embedding", DIM)
     return pooled.select("doc_id", "n_hits", *[F.round(f"e{i}", 5).alias(f"e{i}") for i in range(DIM)])
 
@@ -125,20 +130,28 @@ def q_term_counts(spark, sf):
     return FE.term_counts(read_table(spark, sf, "documents"))
 
 
-@query("tfidf", "WITH " + _SPLIT_SQL + ",\n" + _TERMS_SQL + """,
+_TFIDF_SQL = "WITH " + _SPLIT_SQL + ",\n" + _TERMS_SQL + """,
 tr AS (SELECT t.* FROM terms t JOIN split s ON t.doc_id = s.doc_id WHERE s.split = 'train'),
-idf AS (SELECT term, ln((1 + (SELECT count(DISTINCT doc_id) FROM tr)) / (1 + count(*))) + 1 AS idf
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM split WHERE split = 'train')) / (1 + count(*))) + 1 AS idf
         FROM tr GROUP BY term),
-w AS (SELECT t.doc_id, t.term, t.tf * i.idf AS w FROM terms t JOIN idf i ON t.term = i.term)
-SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 5) AS tfidf FROM w""")
+w AS (SELECT t.doc_id, t.term, t.tf * i.idf AS w FROM terms t JOIN idf i ON t.term = i.term),
+f AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS tfidf FROM w)"""
+
+
+def split_tfidf(spark, sf):
+    """(split documents, features): idf fitted on the training split, applied to all; the texts are read once."""
+    d = S.three_way_split(read_table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label")),
+                          F.col("doc_id"), seed=42)
+    keep = ["label", "split"]
+    counts = materialise(FE.term_counts(d, keep=keep), "terms")
+    n_docs = d.where("split = 'train'").agg(F.count(F.lit(1)).alias("n"))
+    return d.drop("text"), FE.tfidf(counts, FE.fit_idf(counts.where("split = 'train'"), n_docs), keep)
+
+
+@query("tfidf", _TFIDF_SQL + "\nSELECT doc_id, term, round(tfidf, 5) AS tfidf FROM f")
 def q_tfidf(spark, sf):
     """M2: TF-IDF with the idf fitted on the training split, applied to all."""
-    d = read_table(spark, sf, "documents")
-    sp = S.three_way_split(d.select("doc_id"), F.col("doc_id"), seed=42)
-    counts = FE.term_counts(d)
-    train = counts.join(sp.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    out = FE.tfidf(counts, FE.fit_idf(train))
-    return out.select("doc_id", "term", F.round("tfidf", 5).alias("tfidf"))
+    return split_tfidf(spark, sf)[1].select("doc_id", "term", F.round("tfidf", 5).alias("tfidf"))
 
 
 def _langid(spark, sf):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,18 +45,38 @@ def stage_key(name: str, params: dict) -> str:
     return f"{name}-{digest}"
 
 
+def input_version(spark: SparkSession, path: str) -> str:
+    """Digest of a file's or folder's listing (names, sizes, change times), so a
+    stage key can follow its input. Reads no data."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    return hashlib.sha1(json.dumps(files).encode()).hexdigest()[:12]
+
+
 def stage(spark: SparkSession, name: str, params: dict, build: Callable[[], DataFrame],
-          reuse: bool = True, root: str | None = None) -> DataFrame:
+          reuse: bool = True, root: str | None = None, inputs: list[str] | None = None) -> DataFrame:
     """Materialise ``build()`` as Parquet under a parameter key and read
     it back; with ``reuse`` an existing complete stage is read instead of
-    rebuilt. Completeness is Spark's ``_SUCCESS`` marker."""
+    rebuilt. Completeness is Spark's ``_SUCCESS`` marker. ``inputs`` are paths
+    whose current listing is part of the key: changed input, another stage."""
     base = root or scratch_path(spark, "stages")
+    if inputs:
+        params = {**params, "inputs": [input_version(spark, p) for p in inputs]}
     path = f"{base.rstrip('/')}/{stage_key(name, params)}"
     if not (reuse and _exists(spark, path + "/_SUCCESS")):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: for
+    an intermediate table that several branches of one plan read."""
+    path = scratch_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
