@@ -62,7 +62,7 @@ def removals(docs: DataFrame, stages: Stages, min_sites: int = MIN_SITES, lg_k:
              text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, t, removed): positions of the lines to take out of each document that has any."""
     lines = stages.put(line_rows(docs, text_col, site_col, id_col), "lines")
-    bad = stages.put(boilerplate(lines, stages, min_sites, lg_k, band), "boilerplate")
+    bad = boilerplate(lines, stages, min_sites, lg_k, band)
     return (lines.join(bad, _KEY).where("NOT (doc_id <=> first.doc_id AND pos = first.pos)")
             .groupBy("doc_id", "t").agg(F.collect_set("pos").alias("removed")))
 
@@ -80,8 +80,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
     * null doc_id sorts before all others; null site: one site of its own; empty table: empty result.
     """
     stages = Stages(docs.sparkSession, "linededup")
-    out = removals(docs, stages, min_sites, lg_k, band, text_col, site_col, id_col)
-    out = stages.put(out, "removals").toDF("__lid", "__lt", "__removed")
+    out = removals(docs, stages, min_sites, lg_k, band, text_col, site_col, id_col).toDF("__lid", "__lt", "__removed")
     kept = F.expr(f"transform(array(split(`{text_col}`, '\n', -1)), l -> "
                   "array_join(transform(array_except(sequence(0, size(l) - 1), __removed), i -> l[i]), '\n'))[0]")
     base = docs.drop("n_lines", "n_removed")
