@@ -9,6 +9,7 @@ from cadenza.registry import vectors  # noqa: F401
 from cadenza.registry import learning  # noqa: F401
 from cadenza.registry import files  # noqa: F401
 from cadenza.registry import streams  # noqa: F401
+from cadenza.registry import published  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL

@@ -15,6 +15,9 @@ from cadenza.operators import sampling as S
 from cadenza.operators import vectors as VE
 from cadenza.operators import vocab as V
 from cadenza.registry.base import query
+from cadenza.registry.songs import _SPLIT_SQL
+from cadenza.registry.sqlparts import preprocess_sql, word_count_sql
+from cadenza.registry.text import VOCAB_SIZE
 from cadenza.registry.vectors import _LANGID_SQL, _TFIDF_SQL, _langid, split_tfidf
 from cadenza.session import scratch_path
 from cadenza.sources.sinks import materialise
@@ -285,6 +288,21 @@ def q_embedding_pca(spark, sf):
     return MO.project_2d(e, "vec_id", "embedding")
 
 
+_TRAIN_VOCAB_SQL = _SPLIT_SQL + f""",
+cut AS (SELECT CAST(floor(quantile_cont({word_count_sql('text')}, 0.75)) AS INTEGER) AS cutoff FROM documents WHERE length(text) > 0),
+toks AS (SELECT doc_id, {preprocess_sql('text')} AS t FROM documents),
+padded AS (SELECT doc_id, CASE WHEN len(t) >= cutoff THEN t[1:cutoff]
+                 ELSE list_concat(t, list_transform(range(cutoff - len(t)), lambda x: '<PAD>')) END AS t FROM toks, cut),
+stream AS (SELECT t.doc_id, CAST(generate_subscripts(t.t, 1) - 1 AS INTEGER) AS pos, unnest(t.t) AS word
+           FROM toks t JOIN split s ON t.doc_id = s.doc_id WHERE s.split = 'train'),
+counts AS (SELECT word, count(*) AS n, min({{'d': doc_id, 'p': pos}}) AS first FROM stream GROUP BY word),
+ranked AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS word_id, word
+           FROM counts ORDER BY n DESC, first LIMIT {VOCAB_SIZE - 1}),
+vmap AS (SELECT map(list(word), list(word_id)) AS ids FROM ranked),
+codes AS (SELECT lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS code
+          FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"""
+
+
 @query("classification_run")
 def q_classification_run(spark, sf):
     """Staged run (dataset -> vocabulary -> vectorised splits -> naive
@@ -296,5 +314,22 @@ def q_classification_run(spark, sf):
     root = scratch_path(spark, "runs", uuid.uuid4().hex)
     opts = RunOptions(vocab_size=2000, model="nb")
     lab = labelled_documents(spark, sf)
-    run_classification(spark, lab, opts, sf, root=root)
-    return run_classification(spark, lab, opts, sf, root=root)
+    inputs = [f"{sf}/documents.parquet"]
+    run_classification(spark, lab, opts, sf, root=root, inputs=inputs)
+    return run_classification(spark, lab, opts, sf, root=root, inputs=inputs)
+
+
+@query("vectorised_xy", "WITH " + _TRAIN_VOCAB_SQL + """
+SELECT s.doc_id, s.split, coalesce(array_to_string(list_transform(p.t, lambda w: coalesce(v.ids[w], 0)), ' '), '') AS x, c.code AS y
+FROM split s JOIN padded p ON s.doc_id = p.doc_id JOIN codes c ON s.lang = c.lang, vmap v""")
+def q_vectorised_xy(spark, sf):
+    """Padded id arrays and class codes of the training, dev and test rows."""
+    from cadenza.plans.classify import split_xy
+    from cadenza.plans.dataset import build_dataset
+    from cadenza.sources.songs import labelled_documents
+
+    ds = materialise(build_dataset(labelled_documents(spark, sf), balance=False, key="doc_id", materialize=False).select(
+        "doc_id", "split", "mood_cats", "tokens", "tokens_padded"), "dataset")
+    vocab = V.vocabulary(V.token_stream(ds.where("split = 'train'"), F.col("tokens")), VOCAB_SIZE)
+    vec = ds.select("doc_id", "split", "mood_cats").join(V.encode_docs(ds, F.col("tokens_padded"), vocab), "doc_id")
+    return split_xy(vec).select("doc_id", "split", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"), "y")
