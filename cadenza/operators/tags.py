@@ -208,9 +208,14 @@ def tags_per_song(store: TagStore) -> DataFrame:
 
 
 def songs_per_tag(store: TagStore) -> DataFrame:
-    """A1: ``(tag, n_songs)`` = COUNT(tid) per tag text."""
-    return (tag_rows(store).groupBy("tag")
-            .agg(F.count("tid").alias("n_songs")))
+    """A1: ``(tag, n_songs)`` = COUNT(tid) per tag text.
+
+    Rows of known songs are counted per tag id first, so a popular tag is one
+    row per task before it meets the tag texts."""
+    known = store.tid_tag.select("tid_id", "tag_id").join(store.tids.select("tid_id"), "tid_id")
+    per_id = known.groupBy("tag_id").agg(F.count(F.lit(1)).alias("_n"))
+    return (per_id.join(store.tags.select("tag_id", "tag"), "tag_id").groupBy("tag")
+            .agg(F.sum("_n").alias("n_songs")))
 
 
 def exact_match_rows(store: TagStore, lex: Lexicon) -> DataFrame:

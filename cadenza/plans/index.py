@@ -38,12 +38,13 @@ def corpus_stats(corpus: DataFrame, lang_col: str | None = "lang") -> DataFrame:
         lang.alias("lang"))
 
 
-def index_songs(mapping: DataFrame, corpus: DataFrame, prefix: str | None = None,
-                lang_col: str | None = "lang") -> DataFrame:
+def index_songs(mapping: DataFrame, corpus: DataFrame | None = None, prefix: str | None = None,
+                lang_col: str | None = "lang", stats: DataFrame | None = None) -> DataFrame:
     """Return ``mapping`` + (is_english, lyrics_available, wordcount, lyrics_filename).
 
     ``corpus`` has (lyrics_filename, lyrics[, lang]); ``lang`` stands for
-    the detector's answer (NULL = detector error)."""
+    the detector's answer (NULL = detector error). ``stats`` is the result of
+    ``corpus_stats`` if it is there already."""
     df = mapping
     for c, v in INDEX_COLUMNS.items():
         df = add_col_if_absent(df, c, v)
@@ -51,7 +52,7 @@ def index_songs(mapping: DataFrame, corpus: DataFrame, prefix: str | None = None
     for c in ("is_english", "lyrics_available", "wordcount"):
         df = df.withColumn(c, F.col(c).cast("int"))
     df = df.withColumn("_fn", safe_file_name(F.col("msd_artist"), F.col("msd_title")))
-    stats = corpus_stats(corpus, lang_col).withColumnRenamed("lyrics_filename", "_fn")
+    stats = (stats if stats is not None else corpus_stats(corpus, lang_col)).withColumnRenamed("lyrics_filename", "_fn")
     j = df.join(stats, "_fn", "left")
 
     in_scope = prefix_match(F.col("msd_artist"), prefix) if prefix else F.lit(True)

@@ -46,7 +46,7 @@ def q_csv_roundtrip(spark, sf):
     fixed schema."""
     path = _scratch(spark, "csv_roundtrip")
     idx = index_songs(song_mapping(spark, sf), lyric_corpus(spark, sf))
-    SK.write_table(idx, path, fmt="csv", overwrite=True, sort_by=["msd_artist"], header=True)
+    SK.write_table(idx, path, fmt="csv", overwrite=True, sort_by=["msd_artist", "msd_id"], header=True)
     return FS.read_csv_table(spark, path, _INDEXED_READ)
 
 

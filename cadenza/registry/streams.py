@@ -24,10 +24,10 @@ def _run_dir(spark, name):
 def q_stream_index_final(spark, sf):
     """Mapping files streamed through the index in micro-batches."""
     root = _run_dir(spark, "index")
-    # the mapping lands as several files (one per artist group) to stream over
-    song_mapping(spark, sf).repartition(6, "msd_artist").write.parquet(f"{root}/in")
+    # the mapping lands as several files to stream over, two at a time here
+    song_mapping(spark, sf).repartition(spark.sparkContext.defaultParallelism, "msd_id").write.parquet(f"{root}/in")
     return incremental_index(spark, f"{root}/in", lyric_corpus(spark, sf), f"{root}/out",
-                             f"{root}/ckpt")
+                             f"{root}/ckpt", files_per_batch=2)
 
 
 @query("stream_scoreboard_final", "WITH " + _BASE + "\nSELECT tid_id, mood, score FROM board")
@@ -35,7 +35,7 @@ def q_stream_scoreboard_final(spark, sf):
     """R2: tag rows streamed into a running (song, mood) scoreboard."""
     root = _run_dir(spark, "scoreboard")
     store = tag_store(spark, sf)
-    store.tid_tag.select("tid_id", "tag_id", "val").repartition(6, "tid_id").write.parquet(f"{root}/in")
+    store.tid_tag.select("tid_id", "tag_id", "val").repartition(spark.sparkContext.defaultParallelism, "tid_id").write.parquet(f"{root}/in")
     out = running_scoreboard(spark, f"{root}/in", store.tags, store.tids, PROBE, f"{root}/out",
-                             f"{root}/ckpt")
+                             f"{root}/ckpt", files_per_batch=2)
     return out.select("tid_id", "mood", F.col("score").cast("long").alias("score"))

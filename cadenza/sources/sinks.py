@@ -31,8 +31,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool
     mode = "append" if append else ("overwrite" if overwrite else "errorifexists")
     out = df
     if sort_by:
-        n = partitions or df.sparkSession.sparkContext.defaultParallelism
-        out = out.repartitionByRange(n, *sort_by).sortWithinPartitions(*sort_by)
+        # without a number the shuffle's own partitioning, which follows the data's size
+        by = ([partitions] if partitions else []) + list(sort_by)
+        out = out.repartitionByRange(*by).sortWithinPartitions(*sort_by)
     w = out.write.mode(mode)
     for k, v in options.items():
         w = w.option(k, v)

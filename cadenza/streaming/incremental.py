@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from cadenza.operators import tags as TG
 from cadenza.operators.lexicon import Lexicon
-from cadenza.plans.index import index_songs
+from cadenza.sources.sinks import materialise
+from cadenza.plans.index import corpus_stats, index_songs
 
 MAPPING_STREAM_SCHEMA = T.StructType([
     T.StructField("msd_id", T.StringType()),
@@ -41,23 +42,24 @@ TAG_STREAM_SCHEMA = T.StructType([
 ])
 
 
-def _use_rocksdb(spark: SparkSession) -> None:
-    """Large keyed state belongs in RocksDB, not on the executor heap."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    try:
-        spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    except Exception:  # noqa: BLE001 - keep the default provider if not settable
-        pass
+def _files(spark: SparkSession, schema: T.StructType, path: str, files_per_batch: int | None) -> DataFrame:
+    """Parquet files of a folder as a stream; a batch takes all new files unless the caller sets a number."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def incremental_index(spark: SparkSession, mapping_dir: str, corpus: DataFrame, out_dir: str,
-                      checkpoint: str, files_per_batch: int = 2) -> DataFrame:
+                      checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
     """Run R1 over everything in ``mapping_dir`` and return the indexed table."""
-    stream = (spark.readStream.schema(MAPPING_STREAM_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(mapping_dir))
+    stream = _files(spark, MAPPING_STREAM_SCHEMA, mapping_dir, files_per_batch)
+    # language, words and presence of every text are worked out once; each
+    # micro-batch joins this narrow table, not the texts
+    stats = materialise(corpus_stats(corpus), "corpus-stats")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        indexed = index_songs(batch, corpus)
+        indexed = index_songs(batch, stats=stats)
         indexed.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
 
     q = (stream.writeStream.foreachBatch(write_batch)
@@ -68,13 +70,11 @@ def incremental_index(spark: SparkSession, mapping_dir: str, corpus: DataFrame,
 
 def running_scoreboard(spark: SparkSession, tag_rows_dir: str, tags: DataFrame, tids: DataFrame,
                        lex: Lexicon, out_dir: str, checkpoint: str,
-                       files_per_batch: int = 2) -> DataFrame:
+                       files_per_batch: int | None = None) -> DataFrame:
     """Run R2 over the tag rows in ``tag_rows_dir``; return the final state
     ``(tid_id, mood, score)``."""
-    _use_rocksdb(spark)
     deltas = TG.tag_deltas(tags, lex).select("tag_id", "mood", "delta")
-    stream = (spark.readStream.schema(TAG_STREAM_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_batch).parquet(tag_rows_dir))
+    stream = _files(spark, TAG_STREAM_SCHEMA, tag_rows_dir, files_per_batch)
     scored = stream.join(tids.select("tid_id"), "tid_id").join(deltas, "tag_id")
     board = scored.groupBy("tid_id", "mood").agg(F.sum("delta").cast("long").alias("score"))
 
