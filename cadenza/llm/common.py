@@ -78,26 +78,25 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
     Alternating large-star and small-star: each round is joins and grouped
     minima over edges, so no component ever meets in one task, and the number
     of rounds grows with the logarithm of the longest chain. Each round is a
-    staged table; the one before it is dropped. Nodes without a link are not
-    in the result, self links are ignored, repeated links count once.
+    staged table; the one before it is dropped. It ends when every node has one
+    link and none is linked to a node that has one itself: links go to smaller
+    nodes, so each star's centre is its component's smallest. Nodes without a
+    link are not in the result, self links are ignored, repeated links count once.
     """
     cur = stages.put(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
     while True:
+        twice = cur.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+        chained = cur.select("a").join(cur.select(F.col("b").alias("a")), "a", "left_semi")
+        if twice.union(chained).isEmpty():
+            return cur.toDF("node", "root")
         both = cur.union(cur.select("b", "a")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
                  .where("a <> b").distinct())
-        large = stages.put(large, "large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", "m")).distinct())
         new = stages.put(small, "small")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        stages.drop(large)
         stages.drop(cur)
         cur = new
-        if state == seen:
-            return cur.toDF("node", "root")
-        seen = state
