@@ -128,10 +128,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     if not top:
         return fit_sets([], [], landmarks)
     per = max(1, sample_rows // len(top))
-    first = "row_number() OVER (PARTITION BY label{} ORDER BY xxhash64(id), id) AS n"
-    picked = ids.where(F.col("label").isin(top)).distinct()
-    for by in (", pmod(id, 64)", ""):  # a label may hold most rows: the smallest of each of 64 parts, then of all
-        picked = picked.selectExpr("id", "label", first.format(by)).where(f"n <= {per}").drop("n")
+    # In hash order: parts by the hash's first 12 bits are counted, and only those that hold the first `per` are ranked.
+    ids = ids.where(F.col("label").isin(top)).distinct().withColumn("part", F.shiftrightunsigned(F.xxhash64("id"), 52))
+    before = "coalesce(sum(n) OVER (PARTITION BY label ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    parts = ids.groupBy("label", "part").agg(F.count("*").alias("n")).selectExpr("label", "part", f"{before} AS before")
+    picked = (ids.join(parts.where(f"before < {per}").select("label", "part"), ["label", "part"]).selectExpr(
+        "id", "label", "row_number() OVER (PARTITION BY label ORDER BY part, xxhash64(id), id) AS n").where(f"n <= {per}"))
     chosen = {(r["id"], r["label"]) for r in picked.select("id", "label").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
