@@ -70,12 +70,27 @@ def stage(spark: SparkSession, name: str, params: dict, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of input for each core below which a stored table is dealt anew.
+SMALL_INPUT = 64 << 20
+
+
+def materialise(df: DataFrame, name: str, spread: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: for
-    an intermediate table that several branches of one plan read."""
-    path = scratch_path(df.sparkSession, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    an intermediate table that several branches of one plan read.
+
+    ``spread`` names a column by which the rows of a small input (fewer bytes
+    than ``SMALL_INPUT`` for each core) are dealt first: it comes in fewer
+    splits than there are cores. The rows are the same either way; a large
+    input has splits enough and is written without a shuffle."""
+    spark = df.sparkSession
+    if spread:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        if size < SMALL_INPUT * spark.sparkContext.defaultParallelism:
+            df = df.repartition(spread)
+    path = scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
