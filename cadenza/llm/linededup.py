@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import Stages
 
-#: Distinct sites from which a line is boilerplate.
+#: Distinct sites from which a line is boilerplate in op9's query and its SQL; the pipeline's stage takes fewer.
 MIN_SITES = 10
 #: Base-2 logarithm of a sketch's registers; the relative standard error is 1.04 / sqrt(2 ** LG_K).
 LG_K = 12
