@@ -25,8 +25,10 @@ from cadenza.llm.common import slices, worker_cache
 SAMPLE_ROWS, MAX_LABELS, LANDMARKS = 1600, 256, 192
 RIDGE = 1e-3
 UNDETERMINED = "und"
-#: Score under which a text's language is rejected: one label's share if nothing speaks for any, and a little.
-MIN_SCORE = 0.3
+#: Share of the sample's median margin (best ridge output less the second) under which a text's language is rejected.
+MIN_SHARE = 0.1
+#: Median margin under which the labels can't be told apart at all, so that nothing is rejected.
+FLAT = 1e-3
 #: Factor from ridge outputs (targets -1 and 1) to the soft-max whose largest term is the score.
 SHARPNESS = 2.0
 
@@ -68,28 +70,42 @@ class KernelModel:
     labels: list[str]
     vocabulary: np.ndarray  # n-grams of the landmarks, sorted
     weights: np.ndarray  # vocabulary x labels: the landmarks' presence rows times the ridge coefficients
+    typical: float = 1.0  # median margin of the rows fitted on: it falls with the labels' number, and so do all margins
 
     def outputs(self, sets: list[np.ndarray]) -> np.ndarray:
         """Ridge outputs, texts x labels, by one matrix product."""
         norm = np.sqrt(np.maximum(1, [len(s) for s in sets]))[:, None]
         return (_presence(sets, self.vocabulary) @ self.weights) / norm
 
-    def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Label, soft-max score and margin as a share of the typical one, for each text."""
         names: list[str] = []
         scores: list[np.ndarray] = []
+        shares: list[np.ndarray] = []
         for at in range(0, len(texts), batch):
             sets = [grams(t) for t in texts[at: at + batch]]
             if not self.labels:
                 names += [UNDETERMINED] * len(sets)
                 scores.append(np.zeros(len(sets)))
+                shares.append(np.zeros(len(sets)))
                 continue
-            f = SHARPNESS * self.outputs(sets).astype(np.float64)
+            out = self.outputs(sets).astype(np.float64)
+            f = SHARPNESS * out
             e = np.exp(f - f.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
             some = np.array([len(s) > 0 for s in sets])
             names += [self.labels[i] if ok else UNDETERMINED for i, ok in zip(p.argmax(axis=1), some)]
             scores.append(np.where(some, p.max(axis=1), 0.0))
-        return names, np.concatenate(scores) if scores else np.empty(0)
+            shares.append(np.where(some, margins(out) / self.typical if self.typical > FLAT else 1.0, 0.0))
+        return names, *(np.concatenate(x) if x else np.empty(0) for x in (scores, shares))
+
+
+def margins(out: np.ndarray) -> np.ndarray:
+    """Best output less the second, per row; with one label the output itself."""
+    if out.shape[1] == 1:
+        return out[:, 0]
+    two = np.partition(out, -2, axis=1)
+    return two[:, -1] - two[:, -2]
 
 
 def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
@@ -112,7 +128,7 @@ def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMAR
     y = np.where(np.array(labels)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     left = k_nm.T @ k_nm + ridge * len(sets) * k_mm + 1e-8 * np.eye(len(chosen))
     alpha = np.linalg.lstsq(left, k_nm.T @ y, rcond=None)[0]
-    return KernelModel(names, vocabulary, (rows.T @ alpha).astype(np.float32))
+    return KernelModel(names, vocabulary, (rows.T @ alpha).astype(np.float32), float(np.median(margins(k_nm @ alpha))))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
@@ -157,23 +173,23 @@ def _mixed(i: int) -> int:
 
 
 def predict(model: KernelModel, spark) -> Column:
-    """A function of a text column that gives struct<lang_pred, score>.
+    """A function of a text column that gives struct<lang_pred, score, share>.
 
     ``lang_pred`` is a learned label, or ``und`` (score 0) for null or a text without a letter; ties go to the
     label that sorts first. The model that each task gets is bounded by the sample's parameters.
     """
-    shared = spark.sparkContext.broadcast((model.labels, model.vocabulary, model.weights))
-    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64())])
+    shared = spark.sparkContext.broadcast((model.labels, model.vocabulary, model.weights, model.typical))
+    kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("share", pa.float64())])
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, share: double>")
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = KernelModel(*shared.value)
         for column in texts:
             parts = [pa.array([], kind)]
             for b in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text"):
-                names, scores = model.predict(b.column(0).to_pylist())
-                parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                                        fields=list(kind)))
+                names, scores, shares = model.predict(b.column(0).to_pylist())
+                parts.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()),
+                                                         pa.array(shares, pa.float64())], fields=list(kind)))
             yield pa.concat_arrays(parts)
 
     return score
@@ -199,16 +215,19 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE, id_col: str = "doc_id", text_col: str = "text",
+def keep_identified(docs: DataFrame, min_share: float = MIN_SHARE, id_col: str = "doc_id", text_col: str = "text",
                     label_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is determined with a score of ``min_score`` or more.
+    """The rows of ``docs``, all columns, whose best label leads the second by ``min_share`` of the typical margin or more.
 
-    Learned as in ``identify``. Null texts and texts without a letter go; short clean texts stay. Without a label
-    in the table nothing can be rejected but those.
+    Learned as in ``identify``. The typical margin is the median over the sample, so the rejection does not depend on
+    the number of labels. Null texts and texts without a letter go; short clean texts stay. With one label a text goes
+    that shares next to no n-grams with its sample, such as one in another script. Without a label in the table, or if
+    its labels can't be told apart, nothing can be rejected but null texts and texts without a letter. Languages beyond
+    the ``MAX_LABELS`` most frequent are not learned and may go.
     """
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, label_col)
     if not model.labels:
         return docs.where(F.col(text_col).rlike("\\p{L}"))
     p = predict(model, docs.sparkSession)(F.col(text_col).cast("string"))
-    found = docs.withColumn("__p", p).where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.score") >= min_score))
+    found = docs.withColumn("__p", p).where((F.col("__p.lang_pred") != UNDETERMINED) & (F.col("__p.share") >= min_share))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
