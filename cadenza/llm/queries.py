@@ -64,7 +64,7 @@ def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_url_reputation", urls.ORACLE)
 def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url by rule, else by its host's reputation; a page's outcome is the label of the same number."""
-    outcomes = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select(
+    outcomes = table(spark, sf_dir, "labels").where("quality IS NOT NULL OR toxic = 1").select(
         F.col("doc_id").alias("page_id"), F.expr("CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END").alias("bad"))
     return urls.judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 

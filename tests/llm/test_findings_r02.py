@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
-from cadenza.llm import stringkernel
+from cadenza.llm import queries, stringkernel
 
 SF2 = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -81,3 +81,16 @@ def test_margin_is_best_less_second():
     two = sorted(model.outputs(sets[:1])[0])[-2:]
     assert model.predict(["the cat sat"])[2][0] == pytest.approx((two[1] - two[0]) / model.typical, abs=1e-5)
     assert list(model.predict([None, "12"])[2]) == [0, 0]
+
+
+# op6
+
+
+def test_toxic_page_without_quality_is_bad(spark, tmp_path):
+    """Toxic without quality blocks its host, no quality and not toxic (or unknown) teaches nothing."""
+    pages = [(i, f"http://{h}.net/{i}") for i in range(90) for h in (("bad", "good", "none")[i % 3],)]
+    labels = [(i, None if i % 3 != 1 else 1.0, (1, 0, (0, None)[i % 2])[i % 3]) for i in range(90)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality double, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["page_id"]: r["verdict"] for r in queries.QUERIES["op6_url_reputation"](spark, str(tmp_path)).collect()}
+    assert got == {i: "block" if i % 3 == 0 else got[2] if i % 3 == 2 else "allow" for i in range(90)}
