@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import (
+    divergence,
     graphsearch,
     linededup,
+    piecetable,
     privacy,
     secrets,
+    segmentsearch,
     sentpiece,
     sharding,
     simhash,
@@ -98,3 +101,22 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 largest inner products for every 20th vector, by beam search on robust-pruned graphs."""
     return graphsearch.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+@query("op11_segment_search", segmentsearch.ORACLE)
+def op11_segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products for every 50th vector, exact, pruned by segment statistics."""
+    return segmentsearch.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@query("op12_fill_in_middle", piecetable.ORACLE)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text rearranged for filling in the middle, and restored from the output alone."""
+    return piecetable.restore(piecetable.fill_in_middle(table(spark, sf_dir, "documents"))).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op13_source_divergence", divergence.ORACLE)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language over all its kept terms, and each source's typical terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
