@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 
 from pyspark.sql import SparkSession
 
@@ -95,6 +96,42 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_dir(spark), *[p.strip("/") for p in parts]])
 
 
+def app_scratch(spark: SparkSession, *parts: str) -> str:
+    """A path for intermediate tables of this application, which ``clear_scratch`` deletes."""
+    return scratch_path(spark, _TABLES, spark.sparkContext.applicationId, *parts)
+
+
+_TABLES = "tables"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application: for when its results are written and no lazy frame that
+    reads one of them is needed any more."""
+    delete_path(spark, app_scratch(spark))
+
+
+def sweep_scratch(spark: SparkSession, older_than_s: float = 7 * 86400) -> list[str]:
+    """Delete the intermediate tables of other applications that have not been written to for so long, such as those
+    of drivers that died; returns their ids."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, _TABLES))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    gone = []
+    for f in fs.listStatus(root):
+        name = f.getPath().getName()
+        newest = max([f.getModificationTime(), *(x.getModificationTime() for x in fs.listStatus(f.getPath()))])
+        if name != spark.sparkContext.applicationId and time.time() - newest / 1000 > older_than_s:
+            fs.delete(f.getPath(), True)
+            gone.append(name)
+    return gone
+
+
 def is_local(spark: SparkSession) -> bool:
     """One JVM: ``local`` or ``local[n]``; a ``local-cluster`` has executors of its own."""
     return spark.sparkContext.master.split("[")[0] == "local"

@@ -66,10 +66,15 @@ def read_genre_tsv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GENRE_SCHEMA).option("sep", "\t").option("header", False).csv(path)
 
 
+#: Characters that a line is stripped of at either end: everything that counts as white space in Unicode.
+WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                                 0x202F, 0x205F, 0x3000])
+
+
 def parse_sep_lines(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """``#`` comment lines skipped, lines stripped and split on ``<SEP>``.
     Returns (rows with six columns, rejects = lines without six fields)."""
-    body = lines.where(~F.col(col).startswith("#")).select(F.trim(F.col(col)).alias("_line"))
+    body = lines.where(~F.col(col).startswith("#")).select(F.trim(F.col(col), F.lit(WHITE)).alias("_line"))
     parts = body.select("_line", F.split("_line", SEP, -1).alias("_p"))
     ok = parts.where(F.size("_p") == 6).select(
         *[F.col("_p")[i].alias(c) for i, c in enumerate(MAPPING_COLUMNS)])

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.session import scratch_path
+from cadenza.session import app_scratch, delete_path, scratch_path
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False,
@@ -49,34 +50,74 @@ def stage_key(name: str, params: dict) -> str:
 def input_version(spark: SparkSession, path: str) -> str:
     """Digest of a file's or folder's listing (names, sizes, change times), so a
     stage key can follow its input. Reads no data."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, path)
     files = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
     return hashlib.sha1(json.dumps(files).encode()).hexdigest()[:12]
 
 
+#: Seconds for which a version that a newer one has replaced stays for those who still read it.
+KEEP_S = 3600
+
+
 def stage(spark: SparkSession, name: str, params: dict, build: Callable[[], DataFrame],
-          reuse: bool = True, root: str | None = None, inputs: list[str] | None = None) -> DataFrame:
+          reuse: bool = True, root: str | None = None, inputs: list[str] | None = None, keep_s: float = KEEP_S) -> DataFrame:
     """Materialise ``build()`` as Parquet under a parameter key and read
-    it back; with ``reuse`` an existing complete stage is read instead of
-    rebuilt. Completeness is Spark's ``_SUCCESS`` marker. ``inputs`` are paths
-    whose current listing is part of the key: changed input, another stage."""
+    it back; with ``reuse`` a published version is read instead of rebuilt.
+    ``inputs`` are paths whose current listing is part of the key: changed
+    input, another stage.
+
+    Every build writes a folder of its own and is published by one new file
+    next to it once it is complete. Runs of one key at the same time never touch each other's
+    files, and a reader sees a whole version or none; the newest published one counts. Versions
+    that were replaced, and builds never published, go after ``keep_s`` seconds."""
     base = root or scratch_path(spark, "stages")
     if inputs:
         params = {**params, "inputs": [input_version(spark, p) for p in inputs]}
     path = f"{base.rstrip('/')}/{stage_key(name, params)}"
-    if not (reuse and _exists(spark, path + "/_SUCCESS")):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    version = next(iter(_published(spark, path)), None) if reuse else None
+    if version is None:
+        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:12]}"
+        build().write.parquet(f"{path}/{version}")
+        _publish(spark, path, version, keep_s)
+    return spark.read.parquet(f"{path}/{version}")
+
+
+def _published(spark: SparkSession, path: str) -> list[str]:
+    """Names of the published versions of a stage, the newest first: a name begins with the time of its publication."""
+    root, fs = _fs(spark, f"{path}/_published")
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    return [n.split("=", 1)[1] for n in sorted(names, reverse=True) if "=" in n]
+
+
+def _publish(spark: SparkSession, path: str, version: str, keep_s: float) -> None:
+    """The file that makes a complete version the newest, created in one step; then what nobody needs any more goes."""
+    mark, fs = _fs(spark, f"{path}/_published/{time.time_ns():020d}={version}")
+    fs.create(mark, False).close()
+    newest, old = next(iter(_published(spark, path))), time.time() - keep_s
+    root, _ = _fs(spark, path)
+    for f in fs.listStatus(root):
+        if f.getPath().getName().startswith("v-") and f.getPath().getName() != newest and f.getModificationTime() / 1000 < old:
+            for m in fs.listStatus(_fs(spark, f"{path}/_published")[0]):  # unpublished first, so that nobody picks it now
+                if m.getPath().getName().endswith("=" + f.getPath().getName()):
+                    fs.delete(m.getPath(), False)
+            fs.delete(f.getPath(), True)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 #: Bytes of input for each core below which a stored table is dealt anew.
 SMALL_INPUT = 64 << 20
 
 
-def materialise(df: DataFrame, name: str, spread: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, spread: str | None = None, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: for
-    an intermediate table that several branches of one plan read.
+    an intermediate table that several branches of one plan read. ``discard``
+    deletes it, ``session.clear_scratch`` all of the application's.
+    ``partition_by``: a column of few values by which parts of the
+    table are read.
 
     ``spread`` names a column by which the rows of a small input (fewer bytes
     than ``SMALL_INPUT`` for each core) are dealt first: it comes in fewer
@@ -88,15 +129,20 @@ def materialise(df: DataFrame, name: str, spread: str | None = None) -> DataFram
         size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
         if size < SMALL_INPUT * spark.sparkContext.defaultParallelism:
             df = df.repartition(spread)
-    path = scratch_path(spark, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = app_scratch(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.parquet(path, partitionBy=partition_by)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` gave and no plan reads any more."""
+    delete_path(df.sparkSession, df._stored_at)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, path)
     return fs.exists(p)
 
 
