@@ -42,9 +42,9 @@ def _explode_pairs(docs: DataFrame, tokens: Column, doc_col: str, skip_window: i
 
 
 def skipgram_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1,
-                   doc_col: str = "doc_id") -> DataFrame:
+                   doc_col: str = "doc_id", kind: str = "string") -> DataFrame:
     """All pairs within ``skip_window`` on both sides, inside each document.
-    Output ``(doc_id, pos, centre, context)``.
+    Output ``(doc_id, pos, centre, context)``; ``kind``: type of the tokens (word ids are ints).
 
     For each offset o the pairs are two aligned slices of the token array
     zipped together (centres t[0..n-o), contexts t[o..n) and the mirror
@@ -52,7 +52,8 @@ def skipgram_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1,
     operations instead of one small array per centre."""
     t = docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t"))
     n = F.size("_t")
-    empty = F.array().cast("array<struct<pos:int,centre:string,context:string>>")
+    pair = f"array<struct<pos:int,centre:{kind},context:{kind}>>"
+    empty = F.array().cast(pair)
     parts = []
     for o in range(1, skip_window + 1):
         m = n - o
@@ -60,9 +61,9 @@ def skipgram_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1,
         tail = F.slice("_t", 1 + o, F.greatest(m, F.lit(0)))
         fwd = F.arrays_zip(F.sequence(F.lit(0), m - 1).alias("pos"), head.alias("centre"), tail.alias("context"))
         bwd = F.arrays_zip(F.sequence(F.lit(o), n - 1).alias("pos"), tail.alias("centre"), head.alias("context"))
-        parts.append(F.when(m > 0, fwd.cast("array<struct<pos:int,centre:string,context:string>>"))
+        parts.append(F.when(m > 0, fwd.cast(pair))
                      .otherwise(empty))
-        parts.append(F.when(m > 0, bwd.cast("array<struct<pos:int,centre:string,context:string>>"))
+        parts.append(F.when(m > 0, bwd.cast(pair))
                      .otherwise(empty))
     pairs = F.concat(*parts)
     return t.select("doc_id", F.explode(pairs).alias("p")).select(

@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as TX
+from cadenza.operators import embeddings as EM
 from cadenza.operators import langid as LI
 from cadenza.operators import metrics as ME
 from cadenza.operators import models as MO
 from cadenza.operators import sampling as S
+from cadenza.operators import svm as SV
+from cadenza.operators import textcnn as CN
 from cadenza.operators import vectors as VE
 from cadenza.operators import vocab as V
 from cadenza.registry.base import query
@@ -240,12 +243,20 @@ def _doc_splits(spark, sf):
     return S.three_way_split(d, F.col("doc_id"), seed=42)
 
 
-@query("svm_predict")
+@query("svm_predict", _TFIDF_SQL + """,
+svm_docs AS (SELECT doc_id, lang AS label FROM split WHERE split = 'train'),
+""" + SV.fit_sql("f", "svm_docs") + """,
+svm_s AS (SELECT s.doc_id, b.class, coalesce(h.h, 0) + b.w AS m FROM split s JOIN svm b ON b.term IS NULL
+          LEFT JOIN (SELECT f.doc_id, w.class, sum(f.tfidf * w.w) AS h FROM f JOIN svm w ON f.term = w.term GROUP BY 1, 2) h
+          ON h.doc_id = s.doc_id AND h.class = b.class),
+svm_b AS (SELECT doc_id, class FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, class) AS r FROM svm_s) WHERE r = 1)
+SELECT s.doc_id, s.split, s.lang AS label, b.class AS predicted FROM split s LEFT JOIN svm_b b ON s.doc_id = b.doc_id""")
 def q_svm_predict(spark, sf):
-    """M4 + M7: one-vs-rest linear SVM on M2's features."""
-    sp = _doc_splits(spark, sf)
-    model = MO.fit_svm(sp.where(F.col("split") == "train"))
-    return MO.predict_labels(model, sp).select("doc_id", "split", "label", "predicted")
+    """M4 + M7: one-vs-rest linear SVM on M2's features, five passes on train, every split scored."""
+    docs, features = split_tfidf(spark, sf)
+    features = materialise(features.select("doc_id", "term", "tfidf"), "features")
+    weights = SV.fit(features, docs.where("split = 'train'"))
+    return SV.predict(features, docs, weights).select("doc_id", "split", "label", "predicted")
 
 
 def _w2v(spark, sf, dim=32):
@@ -253,7 +264,8 @@ def _w2v(spark, sf, dim=32):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     toks = materialise(d.select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens")
     vocab = materialise(V.vocabulary(V.token_stream(toks, F.col("tokens")), 10_000), "vocabulary")
-    return toks, materialise(MO.fit_word2vec(toks, "tokens", vocab, dim=dim, window=4, iters=1), "vectors")
+    pairs = EM.id_pairs(V.encode_docs(toks, F.col("tokens"), vocab), F.col("ids"), window=4)
+    return toks, EM.fit(pairs, vocab, dim=dim, passes=2)
 
 
 @query("word2vec_vectors")
@@ -281,6 +293,24 @@ def q_pooled_mlp_predict(spark, sf):
         names, F.col("prediction").cast("int") + 1).alias("predicted"))
 
 
+@query("cnn_predict")
+def q_cnn_predict(spark, sf):
+    """M6: convolution filters of 3, 4 and 5 words, largest response, drop-out and soft-max, trained on the training
+    split over M5's vectors. Every document is scored."""
+    from cadenza.plans.dataset import build_dataset
+    from cadenza.sources.songs import labelled_documents
+
+    ds = materialise(build_dataset(labelled_documents(spark, sf), balance=False, key="doc_id", materialize=False).select(
+        "doc_id", "split", F.col("mood").alias("label"), "tokens", "tokens_padded"), "dataset", spread="doc_id")
+    train = ds.where("split = 'train'")
+    vocab = materialise(V.vocabulary(V.token_stream(train, F.col("tokens")), VOCAB_SIZE), "vocabulary")
+    vectors = EM.fit(EM.id_pairs(V.encode_docs(train, F.col("tokens"), vocab), F.col("ids"), window=4), vocab, dim=16, passes=2)
+    ids = materialise(V.encode_docs(ds, F.col("tokens_padded"), vocab).join(ds.select("doc_id", "split", "label"), "doc_id"), "ids")
+    known = ids.where("split = 'train' AND label IS NOT NULL")
+    net, _ = CN.fit(known, CN.word_matrix(vocab, vectors, 16), LI.languages(known, "label"), filters=16, passes=3)
+    return ids.join(CN.predict(net, ids), "doc_id").select("doc_id", "split", "label", "predicted")
+
+
 @query("embedding_pca")
 def q_embedding_pca(spark, sf):
     """M10 re-aimed: 2-D PCA projection of the embedding table."""
