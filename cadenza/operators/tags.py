@@ -3,8 +3,11 @@
 Plan shape used throughout (the reference loops songs and sends one SQL
 query per song; here everything is set-based):
 
-1. Score every *distinct tag text* once against the broadcast lexicon
-   (a nested-loop join whose build side is a fixed, small literal table).
+1. Score every *distinct tag text* once against the lexicon. Terms are found
+   through an inverted index of their first characters: a text's short
+   substrings meet the terms that begin with them in an equi-join, and the few
+   candidates are compared. The work follows the texts' length and the hits,
+   not the number of terms; no pair of text and term is formed otherwise.
 2. Carry the per-tag result to ``tag_id`` with an equi-join, pivot it to
    one row per tag so the big join below never multiplies rows.
 3. One left join ``tid_tag -> per-tag deltas`` (AQE broadcasts the per-tag
@@ -37,8 +40,34 @@ def _occurrences(text: Column, term: Column, literal: bool) -> Column:
     return F.regexp_count(text, term).cast("long")
 
 
-def _hit(text: Column, term: Column, literal: bool) -> Column:
-    return text.contains(term) if literal else text.rlike(term)
+#: Characters of a term's beginning by which it is indexed.
+ANCHOR = 3
+
+
+def term_hits(texts: DataFrame, col: str, terms: DataFrame, listed: dict[str, list[str]]) -> DataFrame:
+    """Rows of ``texts`` joined with every row of ``terms`` whose ``term`` stands in ``col``, overlapping or not.
+
+    ``terms`` is the table of a lexicon's ``listed`` terms, so it is broadcast. Their beginnings of up to ``ANCHOR``
+    characters decide which substring lengths of a text are looked up; the empty term stands in every text.
+    """
+    starts = terms.where("term IS NOT NULL").withColumn("_gram", F.substring("term", 1, ANCHOR))
+    sizes = sorted({min(len(t), ANCHOR) for ts in listed.values() for t in ts})
+    c = F.col(col)
+
+    def grams(n: int):
+        if not n:
+            return F.array(F.lit(""))
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: c.substr(i, F.lit(n)))
+        return F.when(F.length(c) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    parts = [grams(n) for n in sizes] or [F.array().cast("array<string>")]
+    cut = texts.select("*", F.explode(F.array_distinct(F.concat(*parts))).alias("_gram"))
+    return cut.join(F.broadcast(starts), "_gram").where(c.contains(F.col("term"))).drop("_gram")
+
+
+def _found(texts: DataFrame, col: str, terms: DataFrame, listed: dict[str, list[str]], literal: bool) -> DataFrame:
+    """``term_hits``; a lexicon with patterns among its terms is matched as patterns, each text with each."""
+    return term_hits(texts, col, terms, listed) if literal else texts.join(F.broadcast(terms), F.rlike(F.col(col), F.col("term")))
 
 
 def tag_text_deltas(tag_texts: DataFrame, lex: Lexicon) -> DataFrame:
@@ -51,12 +80,11 @@ def tag_text_deltas(tag_texts: DataFrame, lex: Lexicon) -> DataFrame:
     """
     spark = tag_texts.sparkSession
     literal = lex.is_literal()
-    likes = F.broadcast(like_terms_df(spark, lex))
-    filters = F.broadcast(filter_terms_df(spark, lex))
-    hits = (tag_texts.join(likes, _hit(F.col("tag"), F.col("term"), literal))
+    hits = (_found(tag_texts.select("tag"), "tag", like_terms_df(spark, lex), lex.like, literal)
             .groupBy("tag", "mood", "mood_ord").agg(F.count(F.lit(1)).alias("n_like")))
-    fhits = (hits.select("tag", "mood").join(filters, "mood")
-             .groupBy("tag", "mood")
+    liked = hits.select("tag", F.col("mood").alias("_mood"))
+    fhits = (_found(liked.select("tag").distinct(), "tag", filter_terms_df(spark, lex), lex.filters, literal)
+             .join(liked, "tag").where("mood = _mood").groupBy("tag", "mood")
              .agg(F.sum(_occurrences(F.col("tag"), F.col("term"), literal)).alias("n_filter")))
     return (hits.join(fhits, ["tag", "mood"], "left")
             .select("tag", "mood", "mood_ord", "n_like",
@@ -231,12 +259,11 @@ def exact_match_rows(store: TagStore, lex: Lexicon) -> DataFrame:
 def like_tag_moods(tags: DataFrame, lex: Lexicon) -> DataFrame:
     """Distinct (tag_id, tag, mood) where the tag LIKE-matches a like term of
     the mood (case-insensitive, each tag once per mood however many terms
-    hit). Scored on distinct tag texts against the broadcast term table."""
+    hit). Scored on distinct tag texts."""
     spark = tags.sparkSession
-    likes = F.broadcast(like_terms_df(spark, lex).select("mood", F.lower("term").alias("term")))
-    texts = tags.select("tag").distinct()
-    hit = (texts.join(likes, F.lower(F.col("tag")).contains(F.col("term")))
-           .select("tag", "mood").distinct())
+    likes = like_terms_df(spark, lex).select("mood", F.lower("term").alias("term"))
+    texts = tags.select("tag").distinct().withColumn("_low", F.lower("tag"))
+    hit = term_hits(texts, "_low", likes, {m: [t.lower() for t in ts] for m, ts in lex.like.items()}).select("tag", "mood").distinct()
     return tags.join(hit, "tag").select("tag_id", "tag", "mood")
 
 
@@ -251,16 +278,18 @@ def exclude_filtered(rows: DataFrame, lex: Lexicon) -> DataFrame:
     """Drop rows whose lower-case tag contains any filter term of the row's
     mood (terms used as given, so capitalised terms never hit). Evaluated on
     distinct (mood, tag) pairs, then a left-anti equi-join."""
-    spark = rows.sparkSession
-    literal = lex.is_literal()
-    filters = F.broadcast(filter_terms_df(spark, lex).select("mood", "term"))
-    bad = (rows.select("mood", "tag").distinct()
-           .join(filters, "mood")
-           .where(_hit(F.lower(F.col("tag")), F.col("term"), literal))
-           .select("mood", "tag").distinct())
+    bad = _filtered(rows.select("mood", "tag").distinct(), lex)
     return rows.join(bad, ["mood", "tag"], "left_anti")
 
 
+def _filtered(pairs: DataFrame, lex: Lexicon) -> DataFrame:
+    """Those of the distinct (mood, tag) ``pairs`` whose lower-case tag holds a filter term of the mood."""
+    filters = filter_terms_df(pairs.sparkSession, lex).select("mood", "term").distinct()
+    texts = pairs.select("tag").distinct().withColumn("_low", F.lower("tag"))
+    found = _found(texts, "_low", filters, lex.filters, lex.is_literal()).select("mood", "tag").distinct()
+    return pairs.join(found, ["mood", "tag"], "left_semi")
+
+
 def like_minus_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     """Distinct (mood, tag) found by LIKE (after filters) but not by equality."""
     like = exclude_filtered(like_match_rows(store, lex), lex).select("mood", "tag").distinct()
@@ -273,15 +302,11 @@ def _tag_mood_flags(tags: DataFrame, lex: Lexicon) -> DataFrame:
     LIKE hit removed by a filter term. Built on the tag table only (small);
     the big tag-row table is then read once for all three counts."""
     spark = tags.sparkSession
-    literal = lex.is_literal()
     exact = F.broadcast(exact_terms_df(spark, lex))
     ex = (tags.join(exact, F.col("tag") == F.col("term")).select("tag_id", "mood").distinct()
           .withColumn("is_exact", F.lit(True)))
     like = like_tag_moods(tags, lex)
-    filters = F.broadcast(filter_terms_df(spark, lex).select("mood", F.col("term").alias("fterm")))
-    bad = (like.select("mood", "tag").distinct().join(filters, "mood")
-           .where(_hit(F.lower(F.col("tag")), F.col("fterm"), literal))
-           .select("mood", "tag").distinct().withColumn("filtered", F.lit(True)))
+    bad = _filtered(like.select("mood", "tag").distinct(), lex).withColumn("filtered", F.lit(True))
     lk = (like.join(bad, ["mood", "tag"], "left")
           .select("tag_id", "mood", F.lit(True).alias("is_like"),
                   F.coalesce("filtered", F.lit(False)).alias("filtered")))
