@@ -7,10 +7,10 @@ retry), so a re-run after a failure never duplicates rows. Rows already
 indexed are skipped by the checkpointed file source itself.
 
 R2 running scoreboard: tag rows stream in; each is scored through a
-stream-static join with the per-tag deltas and summed per (song, mood)
-in the state store (``update`` mode). Every batch appends the changed
-scores with its batch id; the newest value per key is the running state,
-and after the last batch it equals the batch scoreboard.
+stream-static join with the per-tag deltas, stored once, and summed per (song, mood)
+in the state store. A batch touches the songs of its own rows only and writes
+nothing but its state; the board is read from the state store of the last
+batch and equals the batch scoreboard.
 
 Checkpoints and outputs live under the shared folder
 (``spark.checkpoint.dir``). ``trigger(availableNow=True)`` processes what
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from cadenza.operators import tags as TG
 from cadenza.operators.lexicon import Lexicon
-from cadenza.sources.sinks import materialise
+from cadenza.sources.sinks import discard, materialise
 from cadenza.plans.index import corpus_stats, index_songs
 
 MAPPING_STREAM_SCHEMA = T.StructType([
@@ -69,22 +69,22 @@ def incremental_index(spark: SparkSession, mapping_dir: str, corpus: DataFrame,
 
 
 def running_scoreboard(spark: SparkSession, tag_rows_dir: str, tags: DataFrame, tids: DataFrame,
-                       lex: Lexicon, out_dir: str, checkpoint: str,
-                       files_per_batch: int | None = None) -> DataFrame:
-    """Run R2 over the tag rows in ``tag_rows_dir``; return the final state
-    ``(tid_id, mood, score)``."""
-    deltas = TG.tag_deltas(tags, lex).select("tag_id", "mood", "delta")
+                       lex: Lexicon, checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
+    """Run R2 over the new tag rows in ``tag_rows_dir``; return the running
+    state ``(tid_id, mood, score)``. A later call with the same checkpoint goes
+    on where the last one, or a failed one, ended."""
+    deltas = materialise(TG.tag_deltas(tags, lex).select("tag_id", "mood", "delta"), "tag-deltas")
     stream = _files(spark, TAG_STREAM_SCHEMA, tag_rows_dir, files_per_batch)
     scored = stream.join(tids.select("tid_id"), "tid_id").join(deltas, "tag_id")
     board = scored.groupBy("tid_id", "mood").agg(F.sum("delta").cast("long").alias("score"))
-
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}"))
-
-    q = (board.writeStream.outputMode("update").foreachBatch(write_batch)
+    q = (board.writeStream.outputMode("update").format("noop")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
-    updates = spark.read.parquet(out_dir)
-    latest = updates.groupBy("tid_id", "mood").agg(F.max_by("score", "batch_id").alias("score"))
-    return latest
+    discard(deltas)
+    return scoreboard_state(spark, checkpoint)
+
+
+def scoreboard_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """``(tid_id, mood, score)``: the sums in the state store of the last finished batch, each key once."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.tid_id", "key.mood", F.col("value")[state.schema["value"].dataType.names[0]].alias("score"))
