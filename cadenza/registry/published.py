@@ -229,12 +229,13 @@ def q_song_lookup_quoted(spark, sf):
 
 
 @query("frames_differ", """
-SELECT count(*) FILTER (WHERE n_nationkey % 5 = 0) AS n_left_only,
-       count(*) FILTER (WHERE n_nationkey % 7 = 0) + count(*) FILTER (WHERE n_nationkey % 2 = 0) AS n_right_only FROM nation""")
+SELECT count(*) FILTER (WHERE l_orderkey % 1000 = 7) + count(*) FILTER (WHERE l_orderkey % 1000 = 13) AS n_left_only,
+       count(*) FILTER (WHERE l_orderkey % 1000 IN (7, 11)) + count(*) FILTER (WHERE l_orderkey % 1000 = 17) AS n_right_only FROM lineitem""")
 def q_frames_differ(spark, sf):
-    """U4 on frames with known differences: rows missing on either side, and rows that one side holds twice."""
-    n = read_table(spark, sf, "nation").select("n_nationkey", "n_name")
-    left = n.where("n_nationkey % 7 <> 0")
-    left = left.unionByName(n.where("n_nationkey % 7 = 0 AND n_nationkey % 5 = 0").withColumn("n_name", F.lit("left")))
-    left = left.unionByName(n.where("n_nationkey % 5 = 0 AND n_nationkey % 7 <> 0").withColumn("n_name", F.lit("left")))
-    return FR.frames_equal(left, n.unionByName(n.where("n_nationkey % 2 = 0")))
+    """U4 on two versions of the tag rows with known differences: changed rows, rows that one side lacks, and rows that
+    one side holds twice. Only the differing ranges of hashes are shuffled."""
+    right = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    k = F.col("l_orderkey") % 1000
+    left = right.where(k != 11).withColumn("l_quantity", F.when(k == 7, -F.col("l_quantity")).otherwise(F.col("l_quantity")))
+    left = left.unionByName(right.where(k == 13))
+    return FR.frames_equal(left, right.unionByName(right.where(k == 17)))
