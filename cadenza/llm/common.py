@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.session import scratch_path
+from cadenza.session import app_scratch, delete_path
 
 # Functions of this package travel to the executors with their code: nothing has to be installed there.
 cloudpickle.register_pickle_by_value(sys.modules["cadenza.llm"])
@@ -33,11 +33,12 @@ class Stages:
     """Parquet tables in the shared folder that cut the lineage of a job.
 
     Every executor reads them, so a lost executor costs a re-read and no
-    recomputation. ``drop`` removes a table that no later plan reads.
+    recomputation. ``drop`` removes a table that no later plan reads; results are
+    lazy and read the others, which ``session.clear_scratch`` removes when they are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex[:12]}")
+        self.spark, self.root = spark, app_scratch(spark, "llm", f"{name}-{uuid.uuid4().hex[:12]}")
         self.n = 0
         self.paths: dict[int, str] = {}
 
@@ -51,8 +52,7 @@ class Stages:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, df._stage_path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 21,
