@@ -4,9 +4,10 @@ Patterns find the protected entities (mail and network addresses, card and
 phone numbers). What else gives an entity away is learned from the corpus: for a
 term t that stands near an entity e, the pointwise mutual information
 ln(N n(e,t) / (n(e) n(t))) over document counts, as a share of the entity's
-information content ln(N / n(e)), is the term's disclosure: 1 if t occurs with e only, 0 if
-independently. Near the entity, terms over one threshold are generalised, over a higher
-one removed.
+information content ln(N / n(e)), is what the counts say: 1 if t occurs with e only, 0 if
+independently. The term's disclosure is that times n / (n + 1/2), with n the number of different texts that
+show the pair: one text is weak evidence for so rare a term, and copies of a text are none.
+Near the entity, terms over one threshold are generalised, over a higher one removed.
 
 The scan keeps each document's spans and contexts (no text); pair counts come from
 those. Term counts n(t) come from a second pass over all texts that emits only terms
@@ -29,12 +30,12 @@ from cadenza.llm.common import Stages, slices
 
 #: Words on either side of an entity that count as near.
 WINDOW = 10
-#: Documents in which a term must stand near an entity before the counts say anything.
-MIN_DOCS = 2
+#: Texts that the estimate holds against a pair: a pair in one text has two thirds of its disclosure, in five texts ten elevenths.
+DOUBT = 0.5
 #: Disclosure from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
-#: Bits of the filter of terms to count.
-FILTER_BITS = 1 << 24
+#: Bits of the filter of terms to count for each such term, and its bounds (2 and 32 MB); all are powers of two.
+BITS_PER_TERM, FILTER_BITS, MOST_BITS = 16, 1 << 24, 1 << 28
 
 # The base kinds in the order in which they are listed, their patterns, and what replaces them.
 KINDS = ["email", "ip", "card", "phone", "general", "removed"]
@@ -48,6 +49,11 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]{3,}")
 
 
+def folded(match: str) -> str:
+    """The term that a match counts as, in the contexts and in the counts of all texts alike."""
+    return match.lower()
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Every match starts with the whole run of local characters before its @, so @ is looked for first."""
     end, at = 0, text.find("@")
@@ -100,7 +106,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW
             reach = max(reach, covered[k][1])
             k += 1
         if m.start() >= reach:
-            words.append((m.start(), m.end(), m.group().lower()))
+            words.append((m.start(), m.end(), folded(m.group())))
     starts = np.array([w[0] for w in words])
     entities, near, seen = {}, {}, set()
     for s, kind, e in spans:
@@ -141,19 +147,21 @@ def _scan(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id long, t long, base {_SPANS}, entities array<string>, near {_CONTEXT}")
 
 
-def _slots(term: str) -> tuple[int, int]:
+def _slots(term: str, bits: int) -> tuple[int, int]:
     h = xxhash.xxh64_intdigest(term, 42)
-    return h % FILTER_BITS, (h >> 32) % FILTER_BITS
+    return h & (bits - 1), (h >> 32) & (bits - 1)
 
 
-def _term_counts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _term_counts(texts: DataFrame, pairs: DataFrame, stages: Stages) -> DataFrame:
     """(term, n_t): documents of each term that may be among ``pairs``; every text is read, others emit nothing."""
     spark = texts.sparkSession
+    terms = stages.put(pairs.select("term").distinct(), "terms")
+    size = min(MOST_BITS, max(FILTER_BITS, 1 << (BITS_PER_TERM * terms.count()).bit_length()))
     h = F.xxhash64("term")
-    at = F.explode(F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(FILTER_BITS))))
-    got = (pairs.select("term").distinct().select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
+    at = F.explode(F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(size - 1))))
+    got = (terms.select(at.alias("b")).groupBy(F.shiftright("b", 6).alias("w"))
            .agg(F.expr("bit_or(shiftleft(1L, CAST(b & 63 AS INT)))").alias("m")).toArrow())
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     bits[got["w"].to_numpy()] = got["m"].to_numpy()
     shared = spark.sparkContext.broadcast(bits.tobytes())
 
@@ -170,10 +178,10 @@ def _term_counts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             of: dict[str, bool] = {}
             for text in b.column(0).to_pylist():
-                for term in set(_TERM.findall(text.lower())) if text else ():
+                for term in {folded(w) for w in set(_TERM.findall(text))} if text else ():
                     ok = of.get(term)
                     if ok is None:
-                        x, y = _slots(term)
+                        x, y = _slots(term, size)
                         ok = of[term] = bool(data[x >> 3] >> (x & 7) & 1 and data[y >> 3] >> (y & 7) & 1)
                     if ok:
                         counts[term] += 1
@@ -184,33 +192,38 @@ def _term_counts(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def disclosures(scan: DataFrame, texts: DataFrame, stages: Stages, min_docs: int = MIN_DOCS, least: float = GENERALISE
+def disclosures(scan: DataFrame, texts: DataFrame, stages: Stages, doubt: float = DOUBT, least: float = GENERALISE
                 ) -> DataFrame:
-    """(entity, term, disclosure): pairs at or above ``least``, from counts over all documents."""
-    near = scan.where("size(near) > 0").select(F.explode("near").alias("x")).select("x.*")
-    pairs = stages.put(near.where("first").groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-                       .where(F.col("n_et") >= min_docs), "pairs")
+    """(entity, term, disclosure): pairs at or above ``least``, from counts over all documents.
+
+    n_et, n_e and n_t count documents, copies among them; n_texts the different texts that show the pair.
+    """
+    near = scan.where("size(near) > 0").select("t", F.explode("near").alias("x")).select("t", "x.*")
+    pairs = stages.put(near.where("first").groupBy("entity", "term", "t").agg(F.count("*").alias("n"))
+                       .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts")), "pairs")
     of_entity = scan.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     total = scan.agg(F.count("*").cast("double").alias("n"))
-    known = (pairs.join(_term_counts(texts, pairs), "term").join(of_entity, "entity").crossJoin(F.broadcast(total))
-             .withColumn("disclosure", F.expr("try_divide(ln(n * n_et / (n_e * n_t)), ln(n / n_e))")))
+    known = (pairs.join(_term_counts(texts, pairs, stages), "term", "left").join(of_entity, "entity").crossJoin(F.broadcast(total))
+             .withColumn("disclosure", F.expr("try_divide(ln(n * n_et / (n_e * n_t)), ln(n / n_e))")
+                         * (F.col("n_texts") / (F.col("n_texts") + F.lit(doubt)))))
     return known.where(F.col("disclosure") >= least).select("entity", "term", "disclosure")
 
 
-def find(docs: DataFrame, window: int = WINDOW, min_docs: int = MIN_DOCS, generalise: float = GENERALISE,
+def find(docs: DataFrame, window: int = WINDOW, doubt: float = DOUBT, generalise: float = GENERALISE,
          remove: float = REMOVE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, t, base, spans) for every row of ``docs``: arrays of struct<start, kind_no, end>; spans: base and terms.
 
     * null or empty text: empty arrays; very long texts are read whole; null doc_id: kept;
     * matches of different kinds may overlap and all stay; terms inside a base span are not terms;
-    * a term near several entities is judged by the one that it discloses most; equal texts count as documents each;
+    * a term near several entities is judged by the one that it discloses most; equal texts count as documents each, but
+      as one text for the weight of what they show;
     * repeated rows: the same answer each; empty table: empty result; extra columns are not read.
     """
     stages = Stages(docs.sparkSession, "privacy")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
     scan = stages.put(_scan(rows, window), "scan")
-    known = stages.put(disclosures(scan, rows, stages, min_docs, generalise), "disclosures")
+    known = stages.put(disclosures(scan, rows, stages, doubt, generalise), "disclosures")
     near = (scan.where("size(near) > 0").select("doc_id", "t", F.explode("near").alias("x"))
             .select("doc_id", "t", "x.entity", "x.term", "x.start", "x.end"))
     kind = F.when(F.max("disclosure") >= remove, F.lit(BASE + 1)).otherwise(F.lit(BASE))
