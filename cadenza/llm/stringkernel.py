@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import slices, worker_cache
 
-#: Bounds of the fit: labelled documents in all, labels (the most frequent), landmarks in all.
-SAMPLE_ROWS, MAX_LABELS, LANDMARKS = 1600, 256, 192
+#: Bounds of the fit: labelled documents in all, but ``LEAST_ROWS`` of each label at any rate; landmarks in all.
+SAMPLE_ROWS, LEAST_ROWS, LANDMARKS = 1600, 4, 192
 RIDGE = 1e-3
 UNDETERMINED = "und"
 #: Share of the sample's median margin (best ridge output less the second) under which a text's language is rejected.
@@ -69,13 +69,18 @@ def _presence(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
 class KernelModel:
     labels: list[str]
     vocabulary: np.ndarray  # n-grams of the landmarks, sorted
-    weights: np.ndarray  # vocabulary x labels: the landmarks' presence rows times the ridge coefficients
+    # The landmarks' presence rows (vocabulary x landmarks) and the ridge coefficients (landmarks x labels), as their
+    # product where the labels are no more than the landmarks, else as the two factors: the outputs are the same.
+    weights: list[np.ndarray]
     typical: float = 1.0  # median margin of the rows fitted on: it falls with the labels' number, and so do all margins
 
     def outputs(self, sets: list[np.ndarray]) -> np.ndarray:
         """Ridge outputs, texts x labels, by one matrix product."""
         norm = np.sqrt(np.maximum(1, [len(s) for s in sets]))[:, None]
-        return (_presence(sets, self.vocabulary) @ self.weights) / norm
+        out = _presence(sets, self.vocabulary)
+        for w in self.weights:
+            out = out @ w
+        return out / norm
 
     def predict(self, texts: list[str | None], batch: int = 128) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Label, soft-max score and margin as a share of the typical one, for each text."""
@@ -112,12 +117,12 @@ def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMAR
     """Nyström kernel ridge regression, one label against the rest, on the n-gram sets of labelled texts."""
     names = sorted(set(labels))
     if not names:
-        return KernelModel([], np.empty(0, np.int64), np.empty((0, 0), np.float32))
+        return KernelModel([], np.empty(0, np.int64), [np.empty((0, 0), np.float32)])
     per = max(1, landmarks // len(names))
     seen: dict[str, int] = {}
     chosen = []
     for i, name in enumerate(labels):
-        if seen.setdefault(name, 0) < per:
+        if seen.setdefault(name, 0) < per and len(chosen) < landmarks:
             seen[name] += 1
             chosen.append(i)
     vocabulary = np.unique(np.concatenate([sets[i] for i in chosen]))
@@ -128,29 +133,32 @@ def fit_sets(sets: list[np.ndarray], labels: list[str], landmarks: int = LANDMAR
     y = np.where(np.array(labels)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     left = k_nm.T @ k_nm + ridge * len(sets) * k_mm + 1e-8 * np.eye(len(chosen))
     alpha = np.linalg.lstsq(left, k_nm.T @ y, rcond=None)[0]
-    return KernelModel(names, vocabulary, (rows.T @ alpha).astype(np.float32), float(np.median(margins(k_nm @ alpha))))
+    factors = [rows.T @ alpha] if len(names) <= len(chosen) else [rows.T, alpha]
+    return KernelModel(names, vocabulary, [w.astype(np.float32) for w in factors], float(np.median(margins(k_nm @ alpha))))
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
-        sample_rows: int = SAMPLE_ROWS, max_labels: int = MAX_LABELS, landmarks: int = LANDMARKS) -> KernelModel:
-    """Fit on at most ``sample_rows`` labelled rows, as many for each of the ``max_labels`` most frequent labels.
+        sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS, landmarks: int = LANDMARKS) -> KernelModel:
+    """Fit on ``sample_rows`` labelled rows, as many for each label, but on ``least_rows`` of a label at any rate.
 
     The rows are those with the smallest hash of their id, found from the ids alone; only their distinct n-grams,
-    never their texts, come to the driver. Null labels, null ids and texts without a letter teach nothing.
+    never their texts, come to the driver. Every label is learned, however many there are; landmarks are the first rows of
+    as many labels as ``landmarks`` allows. Null labels, null ids and texts without a letter teach nothing.
     """
     ids = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label")
                           ).where("id IS NOT NULL AND label IS NOT NULL")
-    top = [r["label"] for r in ids.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()]
-    if not top:
+    n_labels = ids.select("label").distinct().count()
+    if not n_labels:
         return fit_sets([], [], landmarks)
-    per = max(1, sample_rows // len(top))
+    per = max(1, least_rows, sample_rows // n_labels)
     # In hash order: parts by the hash's first 12 bits are counted, and only those that hold the first `per` are ranked.
-    ids = ids.where(F.col("label").isin(top)).distinct().withColumn("part", F.shiftrightunsigned(F.xxhash64("id"), 52))
+    ids = ids.distinct().withColumn("part", F.shiftrightunsigned(F.xxhash64("id"), 52))
     before = "coalesce(sum(n) OVER (PARTITION BY label ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
     parts = ids.groupBy("label", "part").agg(F.count("*").alias("n")).selectExpr("label", "part", f"{before} AS before")
     picked = (ids.join(parts.where(f"before < {per}").select("label", "part"), ["label", "part"]).selectExpr(
         "id", "label", "row_number() OVER (PARTITION BY label ORDER BY part, xxhash64(id), id) AS n").where(f"n <= {per}"))
     chosen = {(r["id"], r["label"]) for r in picked.select("id", "label").collect()}
+    wanted = labelled.sparkSession.createDataFrame([(i,) for i in {i for i, _ in chosen}], "id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -160,7 +168,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     rows = (labelled.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
                             F.col(text_col).cast("string").alias("text"))
-            .where(F.col("id").isin([i for i, _ in chosen])).mapInArrow(run, "id long, label string, grams array<long>")
+            .join(F.broadcast(wanted), "id", "left_semi").mapInArrow(run, "id long, label string, grams array<long>")
             .dropDuplicates(["id", "label"]).toArrow())
     found = sorted((_mixed(i), i, label, np.array(g, np.int64)) for i, label, g in zip(
         rows["id"].to_pylist(), rows["label"].to_pylist(), rows["grams"].to_numpy()) if (i, label) in chosen and len(g))
@@ -222,8 +230,7 @@ def keep_identified(docs: DataFrame, min_share: float = MIN_SHARE, id_col: str =
     Learned as in ``identify``. The typical margin is the median over the sample, so the rejection does not depend on
     the number of labels. Null texts and texts without a letter go; short clean texts stay. With one label a text goes
     that shares next to no n-grams with its sample, such as one in another script. Without a label in the table, or if
-    its labels can't be told apart, nothing can be rejected but null texts and texts without a letter. Languages beyond
-    the ``MAX_LABELS`` most frequent are not learned and may go.
+    its labels can't be told apart, nothing can be rejected but null texts and texts without a letter.
     """
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, label_col)
     if not model.labels:
