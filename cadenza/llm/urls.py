@@ -15,10 +15,22 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import Stages
 
-# Rules (host, then path), and suffixes of two labels.
+# Rules (host, then path); suffixes of two labels: registries' labels under any country, those of some
+# countries alone, and hosts whose subdomains have owners of their own.
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
          ("allow", "com/fr/"), ("block", "com/de/")]
-TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "co.nz"]
+REGISTRY_LABELS = ["ac", "co", "com", "edu", "gob", "gov", "govt", "mil", "net", "org", "sch"]
+TWO_LABEL_SUFFIXES = [
+    "ltd.uk", "me.uk", "nhs.uk", "plc.uk", "police.uk", "asn.au", "id.au", "geek.nz", "gen.nz", "iwi.nz", "kiwi.nz", "maori.nz",
+    "school.nz", "ad.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp", "go.kr", "ne.kr", "or.kr", "pe.kr", "re.kr",
+    "firm.in", "gen.in", "ind.in", "nic.in", "res.in", "go.id", "or.id", "web.id", "go.th", "in.th", "mi.th", "or.th",
+    "adv.br", "art.br", "blog.br", "eco.br", "eng.br", "ind.br", "jus.br", "leg.br", "med.br", "tv.br", "law.za", "nom.za",
+    "web.za", "bel.tr", "gen.tr", "k12.tr", "web.tr", "idv.tw", "idv.hk", "muni.il", "k12.il", "asso.fr", "gouv.fr", "nom.fr",
+    "or.at", "gv.at", "info.pl", "waw.pl", "msk.ru", "spb.ru", "in.ua", "kiev.ua", "go.ke", "ne.ke", "or.ke", "go.tz", "or.tz",
+    "blogspot.com", "wordpress.com", "tumblr.com", "weebly.com", "wixsite.com", "herokuapp.com", "appspot.com", "substack.com",
+    "github.io", "gitlab.io", "netlify.app", "vercel.app", "web.app", "firebaseapp.com", "pages.dev", "workers.dev",
+    "azurewebsites.net", "cloudfront.net", "readthedocs.io", "fly.dev", "onrender.com", "repl.co", "neocities.org",
+]
 #: Bad rate above which a host is blocked, and how many posterior standard deviations must lie above it.
 THRESHOLD, DEVIATIONS = 0.3, 1.0
 #: Range of a prior's strength (pseudo-outcomes), when a level shows no or full over-dispersion.
@@ -35,12 +47,16 @@ def parse(url: Column) -> tuple[Column, Column]:
     return F.translate(host, _UPPER, _LOWER), path
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host; without user and port. An address is its own domain, with no suffix."""
+def levels(host: Column, labels: list[str] = REGISTRY_LABELS, suffixes: list[str] = TWO_LABEL_SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; without user and port. An address is its own domain, with no suffix.
+
+    A suffix has two labels if it is one of ``suffixes``, or one of ``labels`` under a country (a last label of two letters).
+    """
     bare = F.regexp_replace(host, "^.*@|:[0-9]*$", "")
     parts = F.split(bare, "\\.")
     two = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(bare)
-    long = two.isin(TWO_LABEL_SUFFIXES)
+    country = two.rlike(r"^[^.]*\.[a-z]{2}$") & F.split_part(two, F.lit("."), F.lit(1)).isin(labels)
+    long = two.isin(suffixes) | country
     address = bare.rlike("^[0-9.]+$") | F.startswith(bare, F.lit("["))
     domain = F.when(address, bare).when(long & (F.size(parts) > 2), F.array_join(F.slice(parts, -3, 3), ".")).otherwise(two)
     suffix = F.when(address, F.lit("")).when(long, two).otherwise(F.element_at(parts, -1))
@@ -93,8 +109,8 @@ def reputation(outcomes: DataFrame, stages: Stages, strength: tuple[float, float
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES, threshold: float = THRESHOLD,
-          deviations: float = DEVIATIONS, strength: tuple[float, float] = STRENGTH, id_col: str = "page_id",
-          url_col: str = "url") -> DataFrame:
+          deviations: float = DEVIATIONS, strength: tuple[float, float] = STRENGTH, labels: list[str] = REGISTRY_LABELS,
+          suffixes: list[str] = TWO_LABEL_SUFFIXES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_rate) for every row of ``pages``; ``outcomes``: (page_id, bad) with bad 0 or 1.
 
     A host without outcomes takes its domain's posterior, then its suffix's, then the root's mean.
@@ -110,7 +126,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
         "page_id", host.alias("host"), path.alias("path"))
     seen = (outcomes.select(F.col("page_id").cast("long"), F.col("bad").cast("int")).where("page_id IS NOT NULL AND bad IS NOT NULL")
             .groupBy("page_id").agg(F.max("bad").alias("bad")))
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), labels, suffixes)
     per_host = (rows.join(seen, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
                 .withColumn("domain", domain).withColumn("suffix", suffix))
     per_host = stages.put(per_host, "hosts")
@@ -156,16 +172,16 @@ WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, inst
 p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}'), '') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 l AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
-      FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+      FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic = 1) GROUP BY 1),
 c AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k FROM p LEFT JOIN l USING (page_id) GROUP BY 1),
 g AS (SELECT *, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS bare FROM c),
 g2 AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$') OR starts_with(bare, '[') AS address FROM g),
 g3 AS (SELECT *, CASE WHEN len(parts) > 1 THEN array_to_string(parts[-2:], '.') ELSE bare END AS two FROM g2),
+g4 AS (SELECT *, two IN ({", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)})
+                 OR regexp_full_match(two, '({"|".join(REGISTRY_LABELS)})[.][a-z][a-z]') AS long FROM g3),
 h AS (SELECT host, n, k,
-        CASE WHEN address THEN bare WHEN two IN ({", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)}) AND len(parts) > 2
-             THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
-        CASE WHEN address THEN '' WHEN two IN ({", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)}) THEN two
-             ELSE parts[-1] END AS suffix FROM g3),
+        CASE WHEN address THEN bare WHEN long AND len(parts) > 2 THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
+        CASE WHEN address THEN '' WHEN long THEN two ELSE parts[-1] END AS suffix FROM g4),
 root AS (SELECT (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS m FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(m) AS m FROM h, root WHERE n > 0 GROUP BY 1),
 s1 AS ({_posterior("s0", "suffix")}),
