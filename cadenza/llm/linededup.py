@@ -6,13 +6,17 @@ that a third of all documents hold costs one sketch per task. Lines whose
 estimate lies near the threshold get an exact distinct count. A boilerplate
 line stays at its first place (smallest doc_id, then position) and is removed
 from everywhere else.
+
+How many sites make a line boilerplate may depend on its length (``passages``): a long passage
+goes from few sites on, a sentence from a share of all sites, and what is shorter, such as a code token, a list
+mark or "Yes.", only together with a longer line next to it.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import Stages
@@ -24,14 +28,37 @@ LG_K = 12
 #: Standard errors (one site at least) around the threshold within which a line is counted exactly.
 BAND = 6.0
 
+#: Of ``dedup_passages``: words of a long line and of a sentence, sites at least, and the share of all sites from
+#: which lines that are not long are boilerplate.
+LONG_WORDS, SENTENCE_WORDS, FEW_SITES, SITE_SHARE = 20, 5, 3, 0.001
+#: Lines next to each other are at most so many places apart: one blank line may stand between them.
+NEXT = 2
+
 _KEY = ["h1", "h2"]
 
 
-def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+def line_size(line: Column) -> Column:
+    """2 for a long line, 1 for a sentence, 0 for a shorter one.
+
+    A long line counts all words between blanks. A sentence counts those of letters alone, with punctuation around them,
+    which most code and marks are not. Two characters of a script without blanks are one word of either kind.
+    """
+    bare = F.floor(F.regexp_count(line, F.lit(
+        r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]")) / 2)
+    words = F.regexp_count(line, F.lit(r"\S+")) + bare
+    plain = F.regexp_count(line, F.lit(
+        r"(?<!\S)[\p{Ps}\p{Pi}\"']*[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*[\p{Pe}\p{Pf}\"'.,;:!?…]*(?!\S)")) + bare
+    return F.when(words >= LONG_WORDS, 2).when(plain >= SENTENCE_WORDS, 1).otherwise(0)
+
+
+def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id",
+              words: bool = False) -> DataFrame:
     """(doc_id, t, pos, site, h1, h2): one row per line that is not blank; t and (h1, h2) hash the text and the line.
 
-    Blanks, tabs and carriage returns around a line do not count. A null site is one site of its own.
+    Blanks, tabs and carriage returns around a line do not count. A null site is one site of its own. With ``words``
+    also size: 2 for a long line, 1 for a sentence, 0 for a shorter one.
     """
+    size = [line_size(F.col("line")).alias("size")] if words else []
     line = F.trim(F.col("line"), F.lit(" \t\r"))
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                         F.col(site_col).cast("string").alias("site"))
@@ -39,7 +66,7 @@ def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source",
                     F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
             .withColumn("line", line).where("line <> ''")
             .select("doc_id", "t", "pos", "site", F.xxhash64("line").alias("h1"),
-                    F.xxhash64(F.lit(1), "line").alias("h2")))
+                    F.xxhash64(F.lit(1), "line").alias("h2"), *size))
 
 
 def boilerplate(lines: DataFrame, stages: Stages, min_sites: int = MIN_SITES, lg_k: int = LG_K,
@@ -67,6 +94,35 @@ def removals(docs: DataFrame, stages: Stages, min_sites: int = MIN_SITES, lg_k:
             .groupBy("doc_id", "t").agg(F.collect_set("pos").alias("removed")))
 
 
+def passages(docs: DataFrame, stages: Stages, few_sites: int = FEW_SITES, site_share: float = SITE_SHARE, lg_k: int = LG_K,
+             band: float = BAND, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, t, removed) as ``removals``, with thresholds by length; see ``dedup_passages``."""
+    lines = stages.put(line_rows(docs, text_col, site_col, id_col, words=True), "lines")
+    sites = lines.select("site").distinct().count()
+    many = max(few_sites, math.ceil(site_share * sites))
+    bad = boilerplate(lines.where("size = 2"), stages, few_sites, lg_k, band).withColumn("solid", F.lit(True)).union(
+        boilerplate(lines.where("size < 2"), stages, many, lg_k, band).withColumn("solid", F.lit(None).cast("boolean")))
+    hits = (lines.join(bad, _KEY).where("NOT (doc_id <=> first.doc_id AND pos = first.pos)")
+            .select("doc_id", "t", "pos", F.coalesce("solid", F.col("size") == 1).alias("solid")).distinct())
+    along = Window.partitionBy("doc_id", "t").orderBy("pos")
+    runs = hits.withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(along) > NEXT, F.lit(True)).cast("int"))
+    runs = runs.withColumn("run", F.sum("new").over(along))
+    kept = runs.withColumn("whole", F.max("solid").over(Window.partitionBy("doc_id", "t", "run"))).where("whole")
+    return kept.groupBy("doc_id", "t").agg(F.collect_set("pos").alias("removed"))
+
+
+def dedup_passages(docs: DataFrame, few_sites: int = FEW_SITES, site_share: float = SITE_SHARE, lg_k: int = LG_K,
+                   band: float = BAND, text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """``dedup_lines`` with thresholds that follow a line's length and the number of sites in the table.
+
+    A long line (``line_size``) is boilerplate from ``few_sites`` sites on; any other from ``site_share`` of all
+    sites on, at least ``few_sites``. One that is not even a sentence (code, marks, "Yes.") goes only from places where it
+    stands in a run of such lines that holds a longer one. Everything else is as ``dedup_lines`` says.
+    """
+    stages = Stages(docs.sparkSession, "linededup")
+    return _without(docs, passages(docs, stages, few_sites, site_share, lg_k, band, text_col, site_col, id_col), text_col, id_col)
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, band: float = BAND,
                 text_col: str = "text", site_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with cross-site boilerplate lines taken out of the text, plus ``n_lines`` and ``n_removed``.
@@ -80,7 +136,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, b
     * null doc_id sorts before all others; null site: one site of its own; empty table: empty result.
     """
     stages = Stages(docs.sparkSession, "linededup")
-    out = removals(docs, stages, min_sites, lg_k, band, text_col, site_col, id_col).toDF("__lid", "__lt", "__removed")
+    return _without(docs, removals(docs, stages, min_sites, lg_k, band, text_col, site_col, id_col), text_col, id_col)
+
+
+def _without(docs: DataFrame, removed: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """``docs`` without the lines at the removed positions of (doc_id, t, removed), with ``n_lines`` and ``n_removed``."""
+    out = removed.toDF("__lid", "__lt", "__removed")
     kept = F.expr(f"transform(array(split(`{text_col}`, '\n', -1)), l -> "
                   "array_join(transform(array_except(sequence(0, size(l) - 1), __removed), i -> l[i]), '\n'))[0]")
     base = docs.drop("n_lines", "n_removed")
