@@ -206,7 +206,9 @@ def corrections(rows: DataFrame) -> DataFrame:
         if lang is not None:
             yield out(lang)
 
-    sorted_rows = rows.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row")
+    # ranges of short keys, one number an item: rows that begin alike lie together, and so they do in the sort below
+    key = F.transform("row", lambda x: F.hash(x["source"], x["n"]))
+    sorted_rows = rows.withColumn("key", key).repartitionByRange("lang", "key").sortWithinPartitions("lang", "row")
     return sorted_rows.select("lang", "row", "times").mapInArrow(run, "lang string, source string, item string, v long")
 
 
