@@ -39,7 +39,7 @@ class Schedule:
     def place(self, size: int, count: int) -> list[int]:
         """Give ``count`` groups of ``size`` one by one to the least-loaded shard; how many each shard gets."""
         got = [0] * len(self.heap)
-        if count > 4 * len(self.heap) and size > 0:
+        if count > len(self.heap) and size > 0:
             self._fill(size, count, got)
             count -= sum(got)
         for _ in range(count):
@@ -70,16 +70,19 @@ class Schedule:
 
 
 def schedule(sizes: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(gsize, ends): for each group size the running number of groups up to each shard, from (gsize, n)."""
+    """(gsize, to, ends) from (gsize, n): the shards that get groups of a size, and the running number of groups up to each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = Schedule(shards)
         for b in batches:
-            ends = [np.cumsum(plan.place(s, n)) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ends, pa.list_(pa.int64()))], names=["gsize", "ends"])
+            got = [np.array(plan.place(s, n)) for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            to = [np.flatnonzero(g) for g in got]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([t.astype(np.int32) for t in to], pa.list_(pa.int32())),
+                 pa.array([np.cumsum(g[t]) for g, t in zip(got, to)], pa.list_(pa.int64()))], names=["gsize", "to", "ends"])
 
     return (sizes.select("gsize", "n").repartition(1).sortWithinPartitions(F.desc("gsize"))
-            .mapInArrow(run, "gsize long, ends array<long>"))
+            .mapInArrow(run, "gsize long, to array<int>, ends array<long>"))
 
 
 def _numbered(rows: DataFrame, by: str, bucket: str, order: list, name: str) -> DataFrame:
@@ -112,8 +115,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     groups = stages.put(rows.groupBy(*_GROUP).agg(F.sum("size").alias("gsize")), "groups")
     plan = stages.put(schedule(groups.groupBy("gsize").agg(F.count("*").alias("n")), shards), "schedule")
     ranked = _numbered(groups.withColumn("__b", F.pmod("g1", F.lit(RANK_BUCKETS))), "gsize", "__b", _GROUP, "rank")
-    placed = ranked.join(plan, "gsize").select(
-        *_GROUP, F.expr("CAST(size(filter(ends, e -> e <= rank)) AS INT)").alias("shard"))
+    # sorted and merged: the plan has a row for each size, which is too much to broadcast in the long run
+    placed = ranked.join(plan.hint("merge"), "gsize").select(
+        *_GROUP, F.expr("element_at(to, 1 + size(filter(ends, e -> e <= rank)))").alias("shard"))
     out = stages.put(rows.join(placed, _GROUP).drop(*_GROUP), "placed")
     out = out.withColumn("__b", F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)))
     return _numbered(out, "shard", "__b", ["doc_id", "size", "text_crc32"], "slot").select(
