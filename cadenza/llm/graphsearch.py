@@ -217,7 +217,7 @@ def search_index(index: DataFrame, queries: DataFrame, stages: Stages, k: int, b
             found, _ = graph.search(np.column_stack([part, np.zeros(len(part))]).astype(np.float32), beam)
             exact = (x[np.minimum(found, len(x) - 1)] * part[:, None, :]).sum(axis=2)
             exact[found >= len(x)] = -np.inf
-            top = np.argsort(-exact, axis=1, kind="stable")[:, : k + 1]
+            top = np.lexsort((found, -exact), axis=1)[:, : k + 1]  # nodes are numbered by their smallest id: ties go to it
             got, score = np.take_along_axis(found, top, 1), np.take_along_axis(exact, top, 1)
             ok = got < len(x)
             qs.append(np.repeat(asked_id[a: a + STEP], ok.sum(axis=1)))
