@@ -6,11 +6,16 @@ A token stream is ``(doc_id, pos, word)``: one row per token, produced by
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cadenza.functions.text import PAD
+from cadenza.sources.sinks import discard, materialise
 
 UNKNOWN_WORD = "UNK"
 
@@ -61,7 +66,7 @@ def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
     ``stream`` may be counted already: rows ``(doc_id, word, n, pos)`` with
     the word's first position in the document. The ranking is a distributed
     top-k (TakeOrderedAndProject) of size vocab_size - 1; only that bounded
-    result gets a row_number."""
+    result gets a row_number. Every distinct word is shuffled once; ``frequent_vocabulary`` shuffles candidates only."""
     n = F.sum("n") if "n" in stream.columns else F.count(F.lit(1))
     counts = stream.groupBy("word").agg(n.alias("n"), F.min(_first_seen(stream)).alias("first"))
     top = counts.orderBy(F.desc("n"), F.asc("first")).limit(vocab_size - 1)
@@ -77,6 +82,74 @@ def vocabulary(stream: DataFrame, vocab_size: int) -> DataFrame:
     return unk.unionByName(ranked)
 
 
+#: Rows and columns of the count sketch, and how many words beyond the vocabulary's size a task may hold while it counts.
+SKETCH_ROWS, SKETCH_COLUMNS, HELD = 4, 1 << 18, 1 << 16
+
+
+def _sketch_columns(word: Column, columns: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(r), word), F.lit(columns)).cast("int") for r in range(SKETCH_ROWS)]
+
+
+def count_sketch(counts: DataFrame, columns: int = SKETCH_COLUMNS) -> DataFrame:
+    """``(r, c, s)``: count-min sums of ``(word, n)`` rows, at most ``SKETCH_ROWS * columns`` rows whatever the words.
+
+    A word's count is at most the least of its sums."""
+    cells = F.array(*[F.struct(F.lit(r).alias("r"), c.alias("c")) for r, c in enumerate(_sketch_columns(F.col("word"), columns))])
+    return counts.select(F.explode(cells).alias("x"), "n").groupBy("x.r", "x.c").agg(F.sum("n").alias("s"))
+
+
+def frequent_vocabulary(stream: DataFrame, vocab_size: int, columns: int = SKETCH_COLUMNS) -> DataFrame:
+    """W3, the rows of ``vocabulary``, by a count-min sketch and an exact recount of its candidates.
+
+    1. Tasks count their own words and add them to the sketch; only its sums are shuffled, a table of fixed size.
+    2. A sample decides the threshold: the exact counts of the ``vocab_size - 1`` words that the sketch ranks first
+       among a task-wise list of frequent words. Their smallest count is a lower bound of the true cut: that many words reach it.
+    3. Every word whose sketch estimate reaches the bound is a candidate. An estimate is never below the count, so all words of the
+       true vocabulary are candidates; they alone are shuffled, counted exactly and ranked.
+
+    ``stream`` holds ``(doc_id, pos, word)`` or counted rows ``(doc_id, word, n, pos)`` and is read three times, so it should be stored.
+    """
+    spark = stream.sparkSession
+    n = F.col("n") if "n" in stream.columns else F.lit(1)
+    rows = stream.where("word IS NOT NULL").select("word", n.cast("long").alias("n"), _first_seen(stream).alias("first"))
+    sums = materialise(count_sketch(rows.select("word", "n"), columns), "sketch")
+    table = np.zeros((SKETCH_ROWS, columns), np.int64)  # of fixed size
+    got = sums.toArrow()
+    table[got["r"].to_numpy(), got["c"].to_numpy()] = got["s"].to_numpy()
+    discard(sums)
+    shared = spark.sparkContext.broadcast(table)
+    keep = max(1, vocab_size - 1)
+
+    @F.arrow_udf("long")
+    def estimate(*places: pa.Array) -> pa.Array:
+        found = [shared.value[r][c.to_numpy(zero_copy_only=False)] for r, c in enumerate(places)]
+        return pa.array(np.min(found, axis=0), pa.int64())
+
+    def likely(batches):
+        """The words of this task that the sketch ranks first: a list of bounded length."""
+        best: dict[str, int] = {}
+        for b in batches:
+            best.update(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            if len(best) > keep + HELD:
+                best = dict(heapq.nlargest(keep, best.items(), key=lambda x: x[1]))
+        top = heapq.nlargest(keep, best.items(), key=lambda x: x[1])
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([e for _, e in top], pa.int64())],
+                                         names=["word", "e"])
+
+    guessed = rows.withColumn("e", estimate(*_sketch_columns(F.col("word"), columns)))
+    first = (guessed.select("word", "e").mapInArrow(likely, "word string, e long").distinct()
+             .orderBy(F.desc("e"), "word").limit(keep).select("word"))
+    exact = rows.join(F.broadcast(first), "word").groupBy("word").agg(F.sum("n").alias("n"))  # vocab_size words at most
+    cut = exact.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).first()
+    bound = cut["least"] if cut["k"] == keep else 0  # fewer words than asked for: all are candidates
+    counts = (guessed.where(F.col("e") >= bound).groupBy("word").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+    ranked = counts.orderBy(F.desc("n"), F.asc("first")).limit(vocab_size - 1).select(
+        F.row_number().over(Window.orderBy(F.desc("n"), F.asc("first"))).cast("int").alias("word_id"), "word", "n")
+    both = rows.select(F.col("n").alias("_d")).unionByName(ranked.select((-F.col("n")).alias("_d")))
+    unk = both.agg(F.sum("_d").alias("n")).select(F.lit(0).alias("word_id"), F.lit(UNKNOWN_WORD).alias("word"), "n")
+    return unk.unionByName(ranked)
+
+
 def encode_stream(stream: DataFrame, vocab: DataFrame, pad_as_zero: bool = True) -> DataFrame:
     """J9 on a stream: ``(doc_id, pos, word_id)``; unknown words (and '<PAD>')
     map to 0, a NULL word (a document without tokens) to NULL. The size of

@@ -12,6 +12,7 @@ from cadenza.operators import embeddings as EM
 from cadenza.operators import langid as LI
 from cadenza.operators import metrics as ME
 from cadenza.operators import models as MO
+from cadenza.operators import projection as PR
 from cadenza.operators import sampling as S
 from cadenza.operators import svm as SV
 from cadenza.operators import textcnn as CN
@@ -311,6 +312,12 @@ def q_cnn_predict(spark, sf):
     return ids.join(CN.predict(net, ids), "doc_id").select("doc_id", "split", "label", "predicted")
 
 
+@query("embedding_neighbours")
+def q_embedding_neighbours(spark, sf):
+    """2-D neighbour embedding of the first 500 vectors."""
+    return PR.neighbour_embedding(read_table(spark, sf, "embeddings"), "vec_id", "embedding", limit=500)
+
+
 @query("embedding_pca")
 def q_embedding_pca(spark, sf):
     """M10 re-aimed: 2-D PCA projection of the embedding table."""
@@ -333,11 +340,32 @@ codes AS (SELECT lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS
           FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"""
 
 
-@query("classification_run")
+_RUN_SQL = """
+WITH base AS (SELECT CAST(doc_id AS VARCHAR) AS id, lang, text FROM documents WHERE length(text) > 0),
+sp AS (SELECT *, CASE WHEN rk < floor(n_all * 0.8) THEN 'train' WHEN rk < floor(n_all * 0.9) THEN 'dev' ELSE 'test' END AS split
+       FROM (SELECT *, row_number() OVER (ORDER BY md5('42|' || id), id) - 1 AS rk, count(*) OVER () AS n_all FROM base)),
+c AS (SELECT lang, count(*) AS n FROM sp WHERE split = 'train' GROUP BY lang),
+p AS (SELECT lang, (max(n) OVER () - n) // n AS copies, (max(n) OVER () - n) % n AS rest FROM c),
+j AS (SELECT sp.*, copies, rest, row_number() OVER (PARTITION BY sp.lang ORDER BY md5('42|pad|' || id), id) - 1 AS r
+      FROM sp JOIN p ON sp.lang = p.lang WHERE split = 'train'),
+one AS (SELECT doc_id, split, lang, text FROM (
+  SELECT id || '|' || CAST(unnest(range(0, copies + 1 + CASE WHEN r < rest THEN 1 ELSE 0 END)) AS VARCHAR) AS doc_id, split, lang, text FROM j
+  UNION ALL SELECT id || '|0', split, lang, text FROM sp WHERE split <> 'train')),
+split AS (SELECT doc_id, split, lang FROM one),
+terms AS (SELECT doc_id, term, count(*) AS tf FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM one) GROUP BY doc_id, term)""" + (
+    _TFIDF_SQL[_TFIDF_SQL.index(",\ntr AS"):] + _NB_SQL[len(_TFIDF_SQL):]) + """,
+best AS (SELECT doc_id, class FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, class) AS r FROM sc) WHERE r = 1)
+SELECT s.split, count(*) AS n, round(avg(CASE WHEN s.lang = b.class THEN 1.0 ELSE 0.0 END), 5) AS accuracy, count(*) AS n_vectorised,
+       'Em-300_FS-3-4-5_NF-128_D-0.5_L2-0.01_B-128_Ep-8_W2V-0_V-2000_nb' AS run_key
+FROM split s JOIN best b ON s.doc_id = b.doc_id GROUP BY s.split"""
+
+
+@query("classification_run", _RUN_SQL)
 def q_classification_run(spark, sf):
-    """Staged run (dataset -> vocabulary -> vectorised splits -> naive
-    Bayes -> saved model -> per-split accuracy). A second call with the same
-    options re-reads every stage and the saved model."""
+    """Staged run (dataset -> balanced training split -> vocabulary -> vectorised splits -> naive
+    Bayes -> per-split accuracy). A second call with the same
+    options re-reads every stage."""
     from cadenza.plans.classify import RunOptions, run_classification
     from cadenza.sources.songs import labelled_documents
 

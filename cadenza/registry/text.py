@@ -132,6 +132,14 @@ def q_vocabulary(spark, sf):
     return V.vocabulary(_stream(spark, sf), VOCAB_SIZE)
 
 
+@query("vocabulary_frequent", "WITH " + _VOCAB_SQL + "\nSELECT word_id, word, CAST(n AS BIGINT) AS n FROM vocab")
+def q_vocabulary_frequent(spark, sf):
+    """W3 by a count-min sketch: candidates by their upper bounds, then an exact recount of those alone."""
+    d = read_table(spark, sf, "documents").select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("t"))
+    counts = materialise(V.document_counts(d, F.col("t")).where("word IS NOT NULL"), "document-counts")
+    return V.frequent_vocabulary(counts, VOCAB_SIZE)
+
+
 @query("encode_tokens", "WITH " + _VOCAB_SQL + """,
 enc AS (SELECT s.doc_id, s.pos, coalesce(v.word_id, 0) AS word_id
         FROM stream s LEFT JOIN (SELECT * FROM vocab WHERE word_id > 0) v ON s.word = v.word)

@@ -10,9 +10,11 @@ import pytest
 from cadenza import session
 from cadenza.operators import embeddings as EM
 from cadenza.operators import frames as FR
+from cadenza.operators import projection as PR
 from cadenza.operators import svm as SV
 from cadenza.operators import tags as TG
 from cadenza.operators import textcnn as CN
+from cadenza.operators import vocab as V
 from cadenza.operators.lexicon import Lexicon
 from cadenza.operators.sampling import hash_key
 from cadenza.plans.index import corpus_stats, index_songs, may_hold, name_filter
@@ -186,6 +188,45 @@ def test_gradient_is_the_slope():
         assert slope[i] == pytest.approx((ends[0] - ends[1]) / 2e-6, abs=1e-4)
 
 
+# M10
+
+
+def _kept(x, y, k=5):
+    """Share of each point's k nearest vectors that are among its k nearest positions."""
+    near = [np.argsort(((a - a[:, None]) ** 2).sum(axis=2) + np.eye(len(a)) * 1e9, axis=1)[:, :k] for a in (x, y)]
+    return np.mean([len(set(p) & set(q)) / k for p, q in zip(*near)])
+
+
+def test_neighbour_embedding_keeps_neighbours_better_than_axes(spark):
+    draw = np.random.default_rng(2)
+    x = np.concatenate([draw.normal(0, 3, (1, 24)) + draw.normal(0, 1, (6, 24)) for _ in range(20)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (900, [0.0] * 24)]
+    df = spark.createDataFrame(rows, "w long, v array<double>")
+    out = PR.neighbour_embedding(df, "w", "v", limit=120, perplexity=6)
+    got = np.array([[r["x"], r["y"]] for r in out.orderBy("id").collect()])
+    centred = x - x.mean(axis=0)
+    axes = centred @ np.linalg.svd(centred, full_matrices=False)[2][:2].T
+    assert got.shape == (120, 2) and np.isfinite(got).all()
+    assert _kept(x, got) > _kept(x, axes) + 0.15
+    assert PR.neighbour_embedding(df.limit(0), "w", "v").collect() == []
+    p = PR.bandwidth(np.sort(draw.random(60)), 10)
+    assert np.exp(-(p * np.log(p)).sum()) == pytest.approx(10, rel=1e-3)
+
+
+# W3
+
+
+def test_frequent_vocabulary_is_the_vocabulary_whatever_the_sketch(spark):
+    rng = random.Random(11)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(6000)]
+    stream = spark.createDataFrame([(i // 40, i % 40, w) for i, w in enumerate(words)], "doc_id long, pos int, word string")
+    for size, columns in ((50, 1 << 12), (50, 16), (5000, 1 << 12), (1, 64)):
+        want = sorted(tuple(r) for r in V.vocabulary(stream, size).collect())
+        assert sorted(tuple(r) for r in V.frequent_vocabulary(stream, size, columns).collect()) == want
+    few = V.count_sketch(stream.groupBy("word").count().toDF("word", "n"), 16)
+    assert few.count() <= 16 * V.SKETCH_ROWS
+
+
 # J5 to J7
 
 
