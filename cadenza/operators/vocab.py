@@ -10,6 +10,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,14 +165,22 @@ def encode_docs(docs: DataFrame, tokens: Column, vocab: DataFrame,
     """Per document the id array (same length as the token array, empty
     for a document without tokens).
 
-    The documents are dealt by id before they are exploded, so their tokens
-    come back together without another exchange of token rows."""
-    s = (docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t")).repartition("doc_id")
-         .select("doc_id", F.posexplode_outer("_t").alias("pos", "word")))
-    enc = encode_stream(s, vocab)
-    pairs = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "word_id")))
-    return enc.groupBy("doc_id").agg(
-        F.transform(F.array_sort(pairs), lambda x: x["word_id"]).alias("ids"))
+    The vocabulary, whose size is an option, goes to every task as one hash index, and
+    an Arrow batch of token arrays is looked up at once: no token row is made, shuffled or gathered again."""
+    known = vocab.where(F.col("word_id") > 0).select("word", F.col("word_id").cast("int").alias("word_id")).toArrow()
+    shared = vocab.sparkSession.sparkContext.broadcast(
+        (known["word"].combine_chunks().cast(pa.string()), known["word_id"].combine_chunks()))
+
+    @F.arrow_udf("array<int>")
+    def look_up(words: pa.Array) -> pa.Array:
+        listed, ids = shared.value
+        flat = words.values.cast(pa.string())
+        at = pc.index_in(flat, value_set=listed)
+        found = pc.fill_null(pc.take(ids, at), 0)
+        return pa.ListArray.from_arrays(words.offsets, found, mask=words.is_null() if words.null_count else None)
+
+    return docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t")).select(
+        "doc_id", F.coalesce(look_up(F.coalesce("_t", F.array().cast("array<string>"))), F.array().cast("array<int>")).alias("ids"))
 
 
 def decode_stream(ids: DataFrame, vocab: DataFrame) -> DataFrame:

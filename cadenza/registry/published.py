@@ -35,7 +35,7 @@ def word_tags(spark, sf) -> TagStore:
         i.alias("pos"), F.lit(2).alias("words"), F.concat_ws(" ", x, F.get("w", i + 1)).alias("tag")))
     rows = d.select("doc_id", F.inline(F.concat(single, pair)))
     rows = rows.groupBy("doc_id", "tag").agg(F.min(F.struct("pos", "words")).alias("tag_ord"))
-    rows = SK.materialise(rows.withColumn("tag_id", F.xxhash64("tag")), "word-tags")
+    rows = SK.materialise(rows.withColumn("tag_id", F.col("tag")), "word-tags")  # a text is its own id
     tags = SK.materialise(rows.select("tag_id", "tag").distinct(), "tags")
     return TagStore(d.select(F.col("doc_id").alias("tid_id"), F.col("doc_id").cast("string").alias("tid")), tags,
                     rows.select(F.col("doc_id").alias("tid_id"), "tag_id", F.lit(1.0).alias("val"), "tag_ord"))

@@ -10,6 +10,7 @@ import pytest
 from cadenza import session
 from cadenza.operators import embeddings as EM
 from cadenza.operators import frames as FR
+from cadenza.operators import langid as LI
 from cadenza.operators import projection as PR
 from cadenza.operators import svm as SV
 from cadenza.operators import tags as TG
@@ -227,6 +228,31 @@ def test_frequent_vocabulary_is_the_vocabulary_whatever_the_sketch(spark):
     assert few.count() <= 16 * V.SKETCH_ROWS
 
 
+# J9, M9
+
+
+def test_encoding_of_odd_token_arrays(spark):
+    vocab = spark.createDataFrame([(0, "UNK", 1), (1, "the", 5), (2, "\u00e9a", 2)], "word_id int, word string, n long")
+    rows = [(1, ["the", "x", "\u00e9a", "the"]), (2, []), (3, None), (4, ["UNK"]), (None, ["the"]), (1, ["the"])]
+    docs = spark.createDataFrame(rows, "doc_id long, t array<string>")
+    want = sorted([(1, [1, 0, 2, 1]), (2, []), (3, []), (4, [0]), (None, [1]), (1, [1])], key=repr)
+    for d in (docs, docs.coalesce(1), docs.where("doc_id > 1 OR doc_id IS NULL").union(docs.where("doc_id = 1"))):
+        assert sorted((tuple(r) for r in V.encode_docs(d, F.col("t"), vocab).collect()), key=repr) == want
+    assert "Exchange" not in plan_of(V.encode_docs(docs, F.col("t"), vocab))
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(6)
+    say = {f"l{k:02}": "".join(random.Random(k).choice("abcdefgh") for _ in range(8)) for k in range(7)}
+    rows = [(i, "".join(rng.choice(say[f"l{i % 7:02}"]) for _ in range(30)), f"l{i % 7:02}" if i % 3 else None) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, train_lang string")
+    langs = LI.languages(docs, "train_lang")
+    whole = {tuple(r) for r in LI.fit_and_score(docs, langs).collect()}
+    monkeypatch.setattr(LI, "COLUMNS", 2)
+    assert {tuple(r) for r in LI.fit_and_score(docs, langs).collect()} == whole and len(langs) == 7
+    assert LI.fit_and_score(docs, []).collect() == []
+
+
 # J5 to J7
 
 
