@@ -12,6 +12,9 @@ is still one row, so the work splits by document across tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +88,35 @@ def skipgram_sampled(docs: DataFrame, tokens: Column, skip_window: int = 1, num_
     return _explode_pairs(docs, tokens, doc_col, skip_window, choose)
 
 
+def counted_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1) -> DataFrame:
+    """``(centre, context, n)``: the counts of ``skipgram_pairs``, all pairs within ``skip_window``.
+
+    Each Arrow batch of documents counts its own pairs as numbers, so a pair is a row once a batch, not once an
+    occurrence; the batches' counts are then added up (partially in every task)."""
+
+    def run(batches):
+        for b in batches:
+            rows = b.column(0)
+            size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+            doc = np.repeat(np.arange(len(size)), size)
+            coded = rows.flatten().cast(pa.string()).dictionary_encode()
+            code, k = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+            keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for o in range(1, skip_window + 1):
+                same = doc[o:] == doc[:-o]
+                key, n = np.unique((code[:-o] * k + code[o:])[same], return_counts=True)
+                keys += [key, key % k * k + key // k]
+                counts += [n, n]
+            key, at = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.zeros(len(key), np.int64)
+            np.add.at(n, at, np.concatenate(counts))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key // k)), coded.dictionary.take(pa.array(key % k)),
+                                              pa.array(n)], names=["centre", "context", "n"])
+
+    return (docs.select(tokens.alias("_t")).mapInArrow(run, "centre string, context string, n long")
+            .groupBy("centre", "context").agg(F.sum("n").alias("n")))
+
+
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """Co-occurrence counts ``(centre, context, n)`` (partial aggregation)."""
     return pairs.groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))

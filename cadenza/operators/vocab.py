@@ -42,6 +42,34 @@ def document_counts(docs: DataFrame, tokens: Column, doc_col: str = "doc_id") ->
     return s.groupBy("doc_id", "word").agg(F.count("word").alias("n"), F.min("pos").alias("pos"))
 
 
+def batch_counts(docs: DataFrame, tokens: Column, doc_col: str = "doc_id", drop_pad: bool = True) -> DataFrame:
+    """``(doc_id, word, n, pos)``: the words of each Arrow batch of documents, how often, and where first by (doc_id, pos).
+
+    As ``vocabulary`` takes it: the words are counted before they become rows, so a batch hands on its distinct words only."""
+    doc = docs.schema[doc_col].dataType
+
+    def run(batches):
+        for b in batches:
+            order = pc.sort_indices(b.column(0), null_placement="at_end")
+            ids, rows = b.column(0).take(order), b.column(1).take(order)
+            flat = rows.flatten().cast(pa.string())
+            size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin = np.cumsum(size) - size
+            coded = flat.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            first = np.zeros(len(coded.dictionary), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]  # the earliest place is written last
+            row = np.repeat(np.arange(len(size)), size)[first]
+            n = np.bincount(code, minlength=len(first))
+            out = pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(row)), coded.dictionary, pa.array(n, pa.int64()), pa.array(first - begin[row], pa.int32())],
+                names=["doc_id", "word", "n", "pos"])
+            yield out.filter(pc.not_equal(coded.dictionary, PAD)) if drop_pad else out
+
+    return docs.select(F.col(doc_col).alias("doc_id"), tokens.alias("_t")).mapInArrow(
+        run, f"doc_id {doc.simpleString()}, word string, n long, pos int")
+
+
 def word_frequency(stream: DataFrame) -> DataFrame:
     """A3: ``(word, n)`` over the whole stream (partial aggregation map-side)."""
     return stream.groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -264,7 +264,7 @@ def _w2v(spark, sf, dim=32):
     """(stored tokens, word vectors): skip-gram over the W3 vocabulary, other words as UNK."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     toks = materialise(d.select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens")
-    vocab = materialise(V.vocabulary(V.token_stream(toks, F.col("tokens")), 10_000), "vocabulary")
+    vocab = materialise(V.vocabulary(V.batch_counts(toks, F.col("tokens")), 10_000), "vocabulary")
     pairs = EM.id_pairs(V.encode_docs(toks, F.col("tokens"), vocab), F.col("ids"), window=4)
     return toks, EM.fit(pairs, vocab, dim=dim, passes=2)
 
@@ -304,7 +304,7 @@ def q_cnn_predict(spark, sf):
     ds = materialise(build_dataset(labelled_documents(spark, sf), balance=False, key="doc_id", materialize=False).select(
         "doc_id", "split", F.col("mood").alias("label"), "tokens", "tokens_padded"), "dataset", spread="doc_id")
     train = ds.where("split = 'train'")
-    vocab = materialise(V.vocabulary(V.token_stream(train, F.col("tokens")), VOCAB_SIZE), "vocabulary")
+    vocab = materialise(V.vocabulary(V.batch_counts(train, F.col("tokens")), VOCAB_SIZE), "vocabulary")
     vectors = EM.fit(EM.id_pairs(V.encode_docs(train, F.col("tokens"), vocab), F.col("ids"), window=4), vocab, dim=16, passes=2)
     ids = materialise(V.encode_docs(ds, F.col("tokens_padded"), vocab).join(ds.select("doc_id", "split", "label"), "doc_id"), "ids")
     known = ids.where("split = 'train' AND label IS NOT NULL")
@@ -388,6 +388,6 @@ def q_vectorised_xy(spark, sf):
 
     ds = materialise(build_dataset(labelled_documents(spark, sf), balance=False, key="doc_id", materialize=False).select(
         "doc_id", "split", "mood_cats", "tokens", "tokens_padded"), "dataset")
-    vocab = V.vocabulary(V.token_stream(ds.where("split = 'train'"), F.col("tokens")), VOCAB_SIZE)
+    vocab = V.vocabulary(V.batch_counts(ds.where("split = 'train'"), F.col("tokens")), VOCAB_SIZE)
     vec = ds.select("doc_id", "split", "mood_cats").join(V.encode_docs(ds, F.col("tokens_padded"), vocab), "doc_id")
     return split_xy(vec).select("doc_id", "split", F.array_join(F.col("x").cast("array<string>"), " ").alias("x"), "y")

@@ -129,7 +129,7 @@ def q_documents_read(spark, sf):
 @query("vocabulary", "WITH " + _VOCAB_SQL + "\nSELECT word_id, word, CAST(n AS BIGINT) AS n FROM vocab")
 def q_vocabulary(spark, sf):
     """UNK + the 999 most frequent words, ties by first appearance."""
-    return V.vocabulary(_stream(spark, sf), VOCAB_SIZE)
+    return V.vocabulary(V.batch_counts(_docs(spark, sf), TX.preprocess(F.col("text"), "treebank")), VOCAB_SIZE)
 
 
 @query("vocabulary_frequent", "WITH " + _VOCAB_SQL + "\nSELECT word_id, word, CAST(n AS BIGINT) AS n FROM vocab")
@@ -149,8 +149,9 @@ ON d.doc_id = e.doc_id""")
 def q_encode_tokens(spark, sf):
     """Per document the vocabulary ids (unknown -> 0), in token order; a
     document without tokens has none. Texts are tokenised once, into a stored table."""
-    toks = materialise(_docs(spark, sf).select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens")
-    vocab = V.vocabulary(V.token_stream(toks, F.col("tokens")), VOCAB_SIZE)
+    toks = materialise(_docs(spark, sf).select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens",
+                       spread="doc_id")
+    vocab = V.vocabulary(V.batch_counts(toks, F.col("tokens")), VOCAB_SIZE)
     enc = V.encode_docs(toks, F.col("tokens"), vocab)
     return enc.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids_text"))
 

@@ -72,7 +72,26 @@ SELECT d.doc_id, coalesce(p.n_hits, 0) AS n_hits, {", ".join(f"p.e{i}" for i in
 FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id""")
 def q_embedding_lookup(spark, sf):
     """Token ids -> embedding rows, mean-pooled per document; a document
-    without a hit stays. Texts are tokenised once, into stored counts."""
+    without a hit stays. Texts are tokenised once, into a stored table."""
+    d = read_table(spark, sf, "documents").select("doc_id", "text")
+    toks = materialise(d.select("doc_id", TX.preprocess(F.col("text"), "treebank").alias("tokens")), "tokens", spread="doc_id")
+    vocab = V.vocabulary(V.batch_counts(toks, F.col("tokens")), VOCAB_SIZE)
+    ids = V.encode_docs(toks, F.col("tokens"), vocab)
+    pooled = VE.pool_ids(ids, F.col("ids"), _emb(spark, sf), "vec_id", "embedding", DIM, VOCAB_SIZE)
+    return pooled.select("doc_id", "n_hits", *[F.round(F.col("e")[i], 5).alias(f"e{i}") for i in range(DIM)])
+
+
+@query("embedding_lookup_join", "WITH " + _VOCAB_SQL + f""",
+enc AS (SELECT s.doc_id, s.pos, coalesce(v.word_id, 0) AS word_id
+        FROM stream s LEFT JOIN (SELECT * FROM vocab WHERE word_id > 0) v ON s.word = v.word),
+j AS (SELECT e.doc_id, m.embedding FROM enc e JOIN embeddings m ON e.word_id = m.vec_id),
+p AS (SELECT doc_id, count(*) AS n_hits,
+       {", ".join(f"round(avg(CAST(embedding[{i + 1}] AS DOUBLE)), 5) AS e{i}" for i in range(DIM))}
+      FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(p.n_hits, 0) AS n_hits, {", ".join(f"p.e{i}" for i in range(DIM))}
+FROM documents d LEFT JOIN p ON d.doc_id = p.doc_id""")
+def q_embedding_lookup_join(spark, sf):
+    """J14 as a join, for vector tables of any size: counted (document, word) rows meet the vectors."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
     counts = materialise(V.document_counts(d, TX.preprocess(F.col("text"), "treebank")), "words")
     vocab = V.vocabulary(counts.where(F.col("word").isNotNull()), VOCAB_SIZE).select("word", "word_id").where("word_id > 0")
@@ -98,7 +117,7 @@ def _tokens(spark, sf):
 def q_skipgram_pairs(spark, sf):
     """W4 all-pairs mode (window 1 each side) as co-occurrence counts."""
     d, t = _tokens(spark, sf)
-    return PA.pair_counts(PA.skipgram_pairs(d, t, skip_window=1))
+    return PA.counted_pairs(d, t, skip_window=1)
 
 
 @query("skipgram_sampled", "WITH " + _STREAM_SQL + """,

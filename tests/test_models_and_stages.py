@@ -11,10 +11,12 @@ from cadenza import session
 from cadenza.operators import embeddings as EM
 from cadenza.operators import frames as FR
 from cadenza.operators import langid as LI
+from cadenza.operators import pairs as PA
 from cadenza.operators import projection as PR
 from cadenza.operators import svm as SV
 from cadenza.operators import tags as TG
 from cadenza.operators import textcnn as CN
+from cadenza.operators import vectors as VE
 from cadenza.operators import vocab as V
 from cadenza.operators.lexicon import Lexicon
 from cadenza.operators.sampling import hash_key
@@ -241,6 +243,29 @@ def test_encoding_of_odd_token_arrays(spark):
     assert "Exchange" not in plan_of(V.encode_docs(docs, F.col("t"), vocab))
 
 
+def test_batches_count_as_rows_do(spark):
+    """Vocabulary, pairs and pooled vectors by Arrow batch against the forms with a row for each token."""
+    rng = random.Random(8)
+    rows = [(rng.choice([None, -3, 2 ** 40, *range(30)]), [rng.choice("the the the a b c d \u00e9 <PAD>".split()) for _ in range(rng.choice([0, 1, 2, 9]))])
+            for _ in range(120)] + [(77, None), (78, [])]
+    for df in (spark.createDataFrame(rows, "doc_id long, t array<string>"),
+               spark.createDataFrame([(str(i), t) for i, t in rows], "doc_id string, t array<string>")):
+        docs = df.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).repartition(3)
+        docs = SK.materialise(docs, "odd")
+        want = sorted(tuple(r) for r in V.vocabulary(V.token_stream(docs, F.col("t")), 4).collect())
+        assert sorted(tuple(r) for r in V.vocabulary(V.batch_counts(docs, F.col("t")), 4).collect()) == want
+        for window in (1, 3):
+            pairs = PA.pair_counts(PA.skipgram_pairs(docs, F.col("t"), window)).collect()
+            assert {tuple(r) for r in PA.counted_pairs(docs, F.col("t"), window).collect()} == {tuple(r) for r in pairs}
+    assert V.batch_counts(df.limit(0), F.col("t")).collect() == [] == PA.counted_pairs(df.limit(0), F.col("t")).collect()
+    ids = spark.createDataFrame([(1, [0, 1, 1, 9]), (2, []), (3, None), (4, [7]), (5, [2, 2])], "doc_id long, ids array<int>")
+    vecs = spark.createDataFrame([(0, [1.0, 2.0]), (1, [4.0, -1.0]), (2, [0.5, 0.5]), (3, None), (900, [9.0, 9.0])], "i long, v array<double>")
+    for some in (ids, ids.where("doc_id > 1").coalesce(1)):
+        got = {r["doc_id"]: (r["n_hits"], r["e"]) for r in VE.pool_ids(some, F.col("ids"), vecs, "i", "v", 2, 5).collect()}
+        want = {1: (3, [3.0, 0.0]), 2: (0, None), 3: (0, None), 4: (0, None), 5: (2, [0.5, 0.5])}
+        assert got == {k: v for k, v in want.items() if k in got} and len(got) == some.count()
+
+
 def test_any_number_of_languages(spark, monkeypatch):
     rng = random.Random(6)
     say = {f"l{k:02}": "".join(random.Random(k).choice("abcdefgh") for _ in range(8)) for k in range(7)}
