@@ -34,6 +34,9 @@ LONG_WORDS, SENTENCE_WORDS, FEW_SITES, SITE_SHARE = 20, 5, 3, 0.001
 #: Lines next to each other are at most so many places apart: one blank line may stand between them.
 NEXT = 2
 
+#: Parts of each line's rows that are joined apart from one another.
+SALT = 16
+
 _KEY = ["h1", "h2"]
 
 
@@ -69,6 +72,14 @@ def line_rows(docs: DataFrame, text_col: str = "text", site_col: str = "source",
                     F.xxhash64(F.lit(1), "line").alias("h2"), *size))
 
 
+def _joined(lines: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """``lines`` joined with a table of some lines by hash; a line's rows are dealt into ``SALT`` parts, so one that a
+    third of all documents hold is not one task's work."""
+    salted = lines.withColumn("__salt", F.expr(f"CAST(pmod(xxhash64(doc_id, pos), {SALT}) AS INT)"))
+    parts = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(parts, [*_KEY, "__salt"], how).drop("__salt")
+
+
 def boilerplate(lines: DataFrame, stages: Stages, min_sites: int = MIN_SITES, lg_k: int = LG_K,
                 band: float = BAND) -> DataFrame:
     """(h1, h2, first): lines on ``min_sites`` or more distinct sites and their first place (doc_id, pos)."""
@@ -80,7 +91,7 @@ def boilerplate(lines: DataFrame, stages: Stages, min_sites: int = MIN_SITES, lg
         .where(F.col("sites") >= math.floor(min_sites - width)), "spread")
     sure = spread.where(F.col("sites") > min_sites + width)
     near = spread.where(F.col("sites") <= min_sites + width)
-    exact = (lines.join(near, _KEY, "left_semi").groupBy(*_KEY).agg(F.countDistinct("site").alias("n"))
+    exact = (_joined(lines, near, "left_semi").groupBy(*_KEY).agg(F.countDistinct("site").alias("n"))
              .where(F.col("n") >= min_sites).select(*_KEY))
     return sure.select(*_KEY, "first").union(near.join(exact, _KEY, "left_semi").select(*_KEY, "first"))
 
@@ -90,7 +101,7 @@ def removals(docs: DataFrame, stages: Stages, min_sites: int = MIN_SITES, lg_k:
     """(doc_id, t, removed): positions of the lines to take out of each document that has any."""
     lines = stages.put(line_rows(docs, text_col, site_col, id_col), "lines")
     bad = boilerplate(lines, stages, min_sites, lg_k, band)
-    return (lines.join(bad, _KEY).where("NOT (doc_id <=> first.doc_id AND pos = first.pos)")
+    return (_joined(lines, bad).where("NOT (doc_id <=> first.doc_id AND pos = first.pos)")
             .groupBy("doc_id", "t").agg(F.collect_set("pos").alias("removed")))
 
 
@@ -102,7 +113,7 @@ def passages(docs: DataFrame, stages: Stages, few_sites: int = FEW_SITES, site_s
     many = max(few_sites, math.ceil(site_share * sites))
     bad = boilerplate(lines.where("size = 2"), stages, few_sites, lg_k, band).withColumn("solid", F.lit(True)).union(
         boilerplate(lines.where("size < 2"), stages, many, lg_k, band).withColumn("solid", F.lit(None).cast("boolean")))
-    hits = (lines.join(bad, _KEY).where("NOT (doc_id <=> first.doc_id AND pos = first.pos)")
+    hits = (_joined(lines, bad).where("NOT (doc_id <=> first.doc_id AND pos = first.pos)")
             .select("doc_id", "t", "pos", F.coalesce("solid", F.col("size") == 1).alias("solid")).distinct())
     along = Window.partitionBy("doc_id", "t").orderBy("pos")
     runs = hits.withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(along) > NEXT, F.lit(True)).cast("int"))
