@@ -43,12 +43,13 @@ _KEY = ["h1", "h2"]
 def line_size(line: Column) -> Column:
     """2 for a long line, 1 for a sentence, 0 for a shorter one.
 
-    A long line counts all words between blanks. A sentence counts those of letters alone, with punctuation around them,
-    which most code and marks are not. Two characters of a script without blanks are one word of either kind.
+    A long line counts its blanks. A sentence counts words of letters alone, with punctuation around them,
+    which most code and marks are not; only lines that aren't long are looked at so closely. In a line mostly of
+    characters of three bytes or more, two characters of a script without blanks are one word of either kind.
     """
-    bare = F.floor(F.regexp_count(line, F.lit(
-        r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]")) / 2)
-    words = F.regexp_count(line, F.lit(r"\S+")) + bare
+    bare = F.when(F.octet_length(line) > 2 * F.char_length(line), F.floor(F.regexp_count(line, F.lit(
+        r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]")) / 2)).otherwise(0)
+    words = F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1 + bare
     plain = F.regexp_count(line, F.lit(
         r"(?<!\S)[\p{Ps}\p{Pi}\"']*[\p{L}\p{M}]+(?:['’-][\p{L}\p{M}]+)*[\p{Pe}\p{Pf}\"'.,;:!?…]*(?!\S)")) + bare
     return F.when(words >= LONG_WORDS, 2).when(plain >= SENTENCE_WORDS, 1).otherwise(0)

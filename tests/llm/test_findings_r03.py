@@ -21,8 +21,9 @@ PROSE = regex.compile(r"(?<!\S)[\p{Ps}\p{Pi}\"']*[\p{L}\p{M}]+(?:['’-][\p{L}\p
 
 
 def size(line):
-    bare = len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", line)) // 2
-    return 2 if len(line.split()) + bare >= 20 else 1 if len(PROSE.findall(line)) + bare >= 5 else 0
+    mostly = len(line.encode()) > 2 * len(line)
+    bare = len(regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]", line)) // 2 if mostly else 0
+    return 2 if line.count(" ") + 1 + bare >= 20 else 1 if len(PROSE.findall(line)) + bare >= 5 else 0
 
 
 def stage(rows):
