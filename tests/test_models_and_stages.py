@@ -8,7 +8,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from cadenza import session
-from cadenza.functions import text as TX
 from cadenza.operators import embeddings as EM
 from cadenza.operators import frames as FR
 from cadenza.operators import langid as LI
@@ -457,24 +456,21 @@ def test_staged_run_trains_filters_and_logs_every_step(spark, tmp_path):
     from cadenza.sources.songs import labelled_documents
 
     lab = labelled_documents(spark, "/root/testdata/sf0.001")
-    opts = dict(vocab_size=500, model="cnn", embedding_size=8, num_filters=6, num_epochs=2, balance=False, filter_sizes=(2, 3),
-                use_pretrained_embeddings=True)
-    words = lab.select(F.explode(TX.preprocess(F.col("lyrics"), "treebank")).alias("word")).distinct()
-    vectors = SK.materialise(words.select("word", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.hash("word").cast("double") * i)).alias("vec")), "v")
+    opts = dict(vocab_size=500, model="cnn", embedding_size=8, num_filters=6, num_epochs=4, balance=False, filter_sizes=(2, 3))
     got = {}
     for rate in (0.0, 0.5):
         root = str(tmp_path / f"run{rate}")
         for _ in range(2):  # the second time everything is read again
-            rows = run_classification(spark, lab, RunOptions(dropout=rate, **opts), "t", root=root, pretrained=vectors).collect()
+            rows = run_classification(spark, lab, RunOptions(dropout=rate, **opts), "t", root=root).collect()
         got[rate] = {r["split"]: (r["n"], r["accuracy"]) for r in rows}
         log = spark.read.parquet(f"{root}/step_log").where("dataset = 'train' AND loss IS NOT NULL").orderBy("step").collect()
-        assert len(log) == 2 * 8  # trained once
+        assert len(log) == 4 * 8  # trained once
         assert np.mean([r["loss"] for r in log[-8:]]) < np.mean([r["loss"] for r in log[:8]])
         got[rate, "loss"] = [r["loss"] for r in log]
     assert got[0.0, "loss"] != got[0.5, "loss"]
     counts = Counter(r["mood"] for r in lab.select("mood").collect())
     assert sum(n for n, _ in got[0.0].values()) == sum(counts.values())
-    assert got[0.0]["train"][1] >= max(counts.values()) / sum(counts.values())
+    assert got[0.0]["train"][1] > max(counts.values()) / sum(counts.values())
     svm = run_classification(spark, lab, RunOptions(vocab_size=500, model="svm", balance=False, l2_reg_lambda=1e-3), "t",
                              root=str(tmp_path / "svm")).collect()
     assert all(r["accuracy"] > 0.9 for r in svm)
