@@ -6,9 +6,10 @@
   corpus listing) / keep only rows with a file (left-semi);
 * J13 look a song up in a catalogue under up to four spellings of
   (title, artist), in priority order; the first spelling that hits wins.
-  The candidates are generated per row (at most four), joined to the
-  catalogue with one equi-join, and the winner is a ``min_by`` per song,
-  so no candidate is dropped and no group is gathered anywhere.
+  The candidates are generated per row (at most four), joined with one
+  equi-join to the smallest catalogue id of each (title, artist) - a song can
+  win no other - and the winner is a ``min`` per song, so a title and artist
+  that many songs and entries share don't meet as pairs.
 """
 
 from __future__ import annotations
@@ -66,8 +67,9 @@ def fallback_lookup(mapping: DataFrame, catalogue: DataFrame) -> tuple[DataFrame
     """Returns (found = (msd_id, prio, catalogue_id), misses = mapping rows
     without any hit, for the append-only reject log)."""
     cand = candidate_keys(mapping)
-    hits = cand.join(catalogue.select("title", "artist", "catalogue_id"), ["title", "artist"])
-    best = hits.groupBy("msd_id").agg(F.min(F.struct("prio", "catalogue_id")).alias("b"))
+    first = catalogue.groupBy("title", "artist").agg(F.min(F.struct("catalogue_id")).alias("c"))
+    hits = cand.join(first, ["title", "artist"])
+    best = hits.groupBy("msd_id").agg(F.min(F.struct("prio", "c.catalogue_id")).alias("b"))
     found = best.select("msd_id", F.col("b.prio").alias("prio"), F.col("b.catalogue_id").alias("catalogue_id"))
     misses = mapping.join(found.select("msd_id"), "msd_id", "left_anti")
     return found, misses
