@@ -19,6 +19,10 @@ query per song; here everything is set-based):
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,7 @@ from cadenza.operators.lexicon import (
     filter_terms_df,
     like_terms_df,
 )
+from cadenza.sources.sinks import materialise
 from cadenza.sources.tables import TagStore
 
 
@@ -135,6 +140,46 @@ def scoreboard_long(store: TagStore, lex: Lexicon) -> DataFrame:
     return board.join(store.tids.select("tid_id"), "tid_id", "left_semi")
 
 
+def _holding(listed: dict[str, list[str]], literal: bool) -> Callable[[Column], Column]:
+    """Condition on a text: it holds one of the listed terms."""
+    terms = sorted({t for ts in listed.values() for t in ts if t is not None})
+
+    def holds(text: Column) -> Column:
+        found = [text.contains(t) if literal else F.rlike(text, F.lit(t)) for t in terms]
+        return reduce(lambda a, b: a | b, found, F.lit(False))
+
+    return holds
+
+
+def _mentioning(listed: dict[str, list[str]]) -> Callable[[Column], Column]:
+    """``_holding`` for literal terms as one pattern: the text, however it is derived, stands in the condition once."""
+    terms = sorted({t for ts in listed.values() for t in ts if t is not None})
+    return lambda text: F.rlike(text, F.lit("|".join(f"\\Q{t}\\E" for t in terms))) if terms else F.lit(False)
+
+
+def _equal(lex: Lexicon) -> Callable[[Column], Column]:
+    """Condition on a text: it equals an exact term."""
+    terms = sorted({t for ts in lex.exact.values() for t in ts if t is not None})
+    return lambda text: text.isin(terms)
+
+
+def _matching(store: TagStore, keep: Callable[[Column], Column], listed: dict[str, list[str]], literal: bool = True) -> TagStore:
+    """A store derived from texts with only those tags that meet ``keep``, stored; others as they are.
+
+    A tag that meets it holds one of the ``listed`` terms, so (unless they are patterns) its text does too."""
+    if store.rows is None:
+        return store
+    rows = materialise(store.rows(keep, _mentioning(listed) if literal else None), "tag-hits")
+    return replace(store, tags=rows.select("tag_id", F.col("tag_id").alias("tag")).distinct(), tid_tag=rows, rows=None)
+
+
+def _found_tags(store: TagStore, per_song: DataFrame) -> DataFrame:
+    """``per_song`` with a store's own counts of all tags, songs without a matching one included."""
+    if store.found is None:
+        return per_song
+    return store.found.join(per_song.drop("found_tags"), "tid_id", "left")
+
+
 def scoreboard_wide(store: TagStore, lex: Lexicon) -> DataFrame:
     """One row per song id that has tags: ``found_tags`` and one score per mood.
 
@@ -142,11 +187,15 @@ def scoreboard_wide(store: TagStore, lex: Lexicon) -> DataFrame:
     (partial aggregation map-side, so a hot song is pre-summed in every
     task). Callers restrict the result to the song table."""
     moods = lex.moods_sorted
+    store = _matching(store, _holding(lex.like, lex.is_literal()), lex.like, lex.is_literal())
     rows = store.tid_tag.join(_tag_delta_wide(store.tags, lex), "tag_id")
-    return rows.groupBy("tid_id").agg(
+    per_song = rows.groupBy("tid_id").agg(
         F.count(F.lit(1)).alias("found_tags"),
         *[F.coalesce(F.sum(f"d_{i}"), F.lit(0)).cast("long").alias(m)
           for i, m in enumerate(moods)])
+    if store.found is None:
+        return per_song
+    return materialise(_found_tags(store, per_song).na.fill(0, moods), "board")  # a row a song: later filters end here
 
 
 def winner_expr(moods: list[str]) -> Column:
@@ -188,6 +237,7 @@ def label_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     spark = store.tags.sparkSession
     moods = lex.moods_exact_order
     exact = F.broadcast(exact_terms_df(spark, lex))
+    store = _matching(store, _equal(lex), lex.exact)
     tag_moods = (store.tags.join(exact, F.col("tag") == F.col("term"))
                  .groupBy("tag_id").agg(F.min("mood_ord").alias("mood_ord")))
     per_tag = store.tags.select("tag_id").join(tag_moods, "tag_id", "left")
@@ -196,7 +246,7 @@ def label_exact(store: TagStore, lex: Lexicon) -> DataFrame:
     per_song = rows.groupBy("tid_id").agg(F.count(F.lit(1)).alias("found_tags"),
                                           F.min(key).alias("first"))
     names = F.array(*[F.lit(m) for m in moods])
-    out = store.tids.join(per_song, "tid_id", "left")
+    out = store.tids.join(_found_tags(store, per_song), "tid_id", "left")
     # guard the lookup: element_at over a literal array with a NULL index is
     # not reliably NULL in generated code
     mood = F.when(F.col("first").isNotNull(),
@@ -251,6 +301,7 @@ def exact_match_rows(store: TagStore, lex: Lexicon) -> DataFrame:
     pass: ``(mood, tid_id, tag_id, tag)``."""
     spark = store.tags.sparkSession
     exact = F.broadcast(exact_terms_df(spark, lex))
+    store = _matching(store, _equal(lex), lex.exact)
     tag_moods = store.tags.join(exact, F.col("tag") == F.col("term")).select(
         "tag_id", "mood").distinct()
     return tag_rows(store).join(tag_moods, "tag_id").select("mood", "tid_id", "tag_id", "tag")

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions import text as TX
@@ -28,17 +29,30 @@ MOODS = FULL.moods_sorted
 
 
 def word_tags(spark, sf) -> TagStore:
-    """Tag store over ``documents``: every lower-cased word and pair of neighbouring words of a text is a tag of it."""
+    """Tag store over ``documents``: every lower-cased word and pair of neighbouring words of a text is a tag of it.
+
+    Nothing is stored or shuffled but what a caller asks for. A word never equals a pair, so a text's tags are
+    counted inside its row; only texts that share their id are counted by rows."""
     d = read_table(spark, sf, "documents").select("doc_id", TX.whitespace_tokens(F.lower("text")).alias("w"))
     single = F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.lit(1).alias("words"), x.alias("tag")))
     pair = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.struct(
         i.alias("pos"), F.lit(2).alias("words"), F.concat_ws(" ", x, F.get("w", i + 1)).alias("tag")))
-    rows = d.select("doc_id", F.inline(F.concat(single, pair)))
-    rows = rows.groupBy("doc_id", "tag").agg(F.min(F.struct("pos", "words")).alias("tag_ord"))
-    rows = SK.materialise(rows.withColumn("tag_id", F.col("tag")), "word-tags")  # a text is its own id
-    tags = SK.materialise(rows.select("tag_id", "tag").distinct(), "tags")
-    return TagStore(d.select(F.col("doc_id").alias("tid_id"), F.col("doc_id").cast("string").alias("tid")), tags,
-                    rows.select(F.col("doc_id").alias("tid_id"), "tag_id", F.lit(1.0).alias("val"), "tag_ord"))
+
+    def rows(keep, whole=None) -> DataFrame:
+        texts = d.where(whole(F.array_join("w", " "))) if whole else d
+        hits = texts.select("doc_id", F.inline(F.concat(single, pair))).where(keep(F.col("tag")))
+        hits = hits.groupBy("doc_id", "tag").agg(F.min(F.struct("pos", "words")).alias("tag_ord"))
+        return hits.select(F.col("doc_id").alias("tid_id"), F.col("tag").alias("tag_id"), F.lit(1.0).alias("val"), "tag_ord")
+
+    distinct = [F.coalesce(F.size(F.array_distinct(F.transform(x, lambda t: t["tag"]))), F.lit(0)) for x in (single, pair)]
+    counted = d.select("doc_id", (distinct[0] + distinct[1]).cast("long").alias("n")).where("doc_id IS NOT NULL")
+    per_id = SK.materialise(counted.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("texts")), "tag-counts")
+    shared = d.join(per_id.where("texts > 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.inline(F.concat(single, pair)))
+    found = (per_id.where("texts = 1").select(F.col("doc_id").alias("tid_id"), F.col("n").alias("found_tags"))
+             .unionByName(shared.groupBy(F.col("doc_id").alias("tid_id")).agg(F.count_distinct("tag").alias("found_tags"))))
+    every = rows(lambda tag: F.lit(True))  # a text is its own id
+    return TagStore(d.select(F.col("doc_id").alias("tid_id"), F.col("doc_id").cast("string").alias("tid")),
+                    every.select("tag_id", F.col("tag_id").alias("tag")).distinct(), every, found.where("found_tags > 0"), rows)
 
 
 def _songs(spark, sf):
