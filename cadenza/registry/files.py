@@ -277,7 +277,7 @@ def q_stage_reuse(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", "text")
 
     def build():
-        return V.vocabulary(V.token_stream(d, TX.preprocess(F.col("text"), "treebank")), VOCAB_SIZE)
+        return V.vocabulary(V.batch_counts(d, TX.preprocess(F.col("text"), "treebank")), VOCAB_SIZE)
 
     params = {"sf": sf, "vocab_size": VOCAB_SIZE, "tokenizer": "treebank"}
     root = _scratch(spark, "stages")
@@ -289,7 +289,7 @@ def q_stage_reuse(spark, sf):
 def q_vocabulary_file(spark, sf):
     """Vocabulary written one word per line in id order and read back."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    vocab = V.vocabulary(V.token_stream(d, TX.preprocess(F.col("text"), "treebank")), VOCAB_SIZE)
+    vocab = V.vocabulary(V.batch_counts(d, TX.preprocess(F.col("text"), "treebank")), VOCAB_SIZE)
     path = _scratch(spark, "vocab_file")
     SK.write_vocabulary_file(vocab, path)
     return SK.read_vocabulary_file(spark, path).select(F.col("word_id").cast("int").alias("word_id"), "word")
