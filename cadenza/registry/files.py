@@ -140,7 +140,7 @@ def _write_corpus(spark, sf, where=None):
         d = d.where(where)
     path = _scratch(spark, "corpus")
     # one directory per lyric file name, one text file inside it
-    d.select("lyrics_filename", "lyrics").write.mode("overwrite").partitionBy("lyrics_filename").text(path)
+    SK.write_text_corpus(d, path)
     return path
 
 
