@@ -12,12 +12,17 @@ is still one row, so the work splits by document across tasks.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.operators.vocab import stacks
+from cadenza.sources.sinks import deal
+
 
 def _offsets(skip_window: int) -> Column:
     offs = [o for o in range(-skip_window, skip_window + 1) if o != 0]
@@ -117,6 +122,59 @@ def counted_pairs(docs: DataFrame, tokens: Column, skip_window: int = 1) -> Data
             .groupBy("centre", "context").agg(F.sum("n").alias("n")))
 
 
+#: Centres of a document that draw their neighbours at a time.
+CENTRES = 1 << 16
+
+
+def counted_samples(docs: DataFrame, tokens: Column, skip_window: int = 1, num_skips: int = 2, seed: int = 42,
+                    doc_col: str = "doc_id") -> DataFrame:
+    """``(centre, context, n)``: the counts of ``skipgram_sampled``, the same neighbours by the same hashes.
+
+    The texts are dealt by document, so tasks get even shares. A stack of documents draws its neighbours and counts its pairs as
+    numbers: a pair is a row once a stack, not once an occurrence. Only centres with more neighbours than ``num_skips`` need
+    hashes."""
+    if num_skips > 2 * skip_window:
+        raise ValueError("num_skips must be <= 2 * skip_window")
+    offsets, cut = np.array([o for o in range(-skip_window, skip_window + 1) if o != 0], np.int64), stacks(1)
+
+    def drawn(doc: bytes, names: list[bytes], begin: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centres, contexts): places of the pairs of a document's centres from ``begin`` on, ``CENTRES`` at most."""
+        n = len(names)
+        centre = np.arange(begin, min(n, begin + CENTRES))[:, None]
+        place = centre + offsets
+        ok = (place >= 0) & (place < n)
+        row, col = np.nonzero(ok & (ok.sum(axis=1, keepdims=True) > num_skips))
+        head = [doc + c + b"|" for c in names[begin:begin + CENTRES]]
+        drawn_by = b"".join([md5(head[i] + names[j]).digest() for i, j in zip(row.tolist(), place[row, col].tolist())])
+        high, low = np.zeros(ok.shape, np.uint64), np.zeros(ok.shape, np.uint64)
+        high[row, col], low[row, col] = np.frombuffer(drawn_by, ">u8").reshape(-1, 2).T
+        first = np.lexsort((low, high, ~ok), axis=1)[:, :num_skips]  # equal ones stay in the order of their places
+        taken = np.take_along_axis(ok, first, 1)
+        return np.broadcast_to(centre, taken.shape)[taken], np.take_along_axis(place, first, 1)[taken]
+
+    def run(batches):
+        for whole in batches:
+            for b in cut([whole]):
+                rows = b.column(1)
+                size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = rows.flatten().cast(pa.string()).dictionary_encode("encode")
+                code, k = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+                keys, at = [np.empty(0, np.int64)], 0
+                for doc, n in zip(b.column(0).to_pylist(), size.tolist()):
+                    names = [b"%d" % i for i in range(n)]
+                    for begin in range(0, n, CENTRES):
+                        # concat_ws leaves a null out
+                        centre, context = drawn((f"{seed}|" if doc is None else f"{seed}|{doc}|").encode(), names, begin)
+                        keys.append(code[at + centre] * k + code[at + context])
+                    at += n
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(key // k)), coded.dictionary.take(pa.array(key % k)),
+                                                  pa.array(n, pa.int64())], names=["centre", "context", "n"])
+
+    dealt = deal(docs, doc_col).select(F.col(doc_col).cast("string").alias("doc_id"), tokens.alias("_t"))
+    return (dealt.mapInArrow(run, "centre string, context string, n long").groupBy("centre", "context").agg(F.sum("n").alias("n")))
+
+
 def pair_counts(pairs: DataFrame) -> DataFrame:
     """Co-occurrence counts ``(centre, context, n)`` (partial aggregation)."""
     return pairs.groupBy("centre", "context").agg(F.count(F.lit(1)).alias("n"))
