@@ -15,11 +15,11 @@ tree, of which it keeps the current path alone; sums of tasks add up.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +27,9 @@ from cadenza.llm.common import Stages, slices
 
 #: A kept term stands in so many documents of its language; ranks of the part `term`; unit of the shares.
 MIN_DOCS, TOP_TERMS, UNIT = 3, 200, 10 ** 9
-#: Distinct (lang, source, term) that a task adds up before it hands them on; bytes of a text that are cut at a time.
-HELD, CUT = 200_000, 1 << 22
+#: Distinct (lang, source, term) that a task adds up before it hands them on, and rows that it hands on at a time; bytes of
+#: a text that are cut at a time.
+HELD, ROWS, CUT = 200_000, 1 << 16, 1 << 22
 #: Pairs of items that are corrected at a time, and pairs of sources whose sums a task holds.
 COMBINATIONS, PAIRS = 1 << 18, 1 << 20
 #: Salt of the join that pairs the sources of a language, none of which is then the work of one task.
@@ -48,36 +49,78 @@ def _words(text: str, cut: int = CUT) -> Iterator[list[bytes]]:
         at = end
 
 
+def _folded(texts: pa.StringArray) -> pa.StringArray:
+    """The texts with blanks in place of what belongs to no term, A-Z lower-cased: as many bytes, so the offsets hold."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = b"" if data is None else data.slice(offsets[0], offsets[-1] - offsets[0]).to_pybytes().translate(_FOLD)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(raw))
+
+
+def _counted(texts: pa.StringArray, group: np.ndarray) -> pa.Table:
+    """(group, term, n, docs) of a few documents, or of one whose pieces are counted one by one."""
+    parts = []
+    if len(texts) == 1 and len(texts[0].as_py()) > CUT:
+        pieces = (pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())) for words in _words(texts[0].as_py(), CUT))
+    else:
+        pieces = [pc.ascii_split_whitespace(_folded(texts))]
+    for lists in pieces:
+        words = lists.flatten()
+        doc = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        real = pc.greater(pc.binary_length(words), 0)
+        doc, coded = doc[real.to_numpy(zero_copy_only=False)], words.filter(real).dictionary_encode()
+        code, k = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+        pair, n = np.unique(doc * k + code, return_counts=True)  # once for each document and term
+        key, at, docs = np.unique(group[pair // k] * k + pair % k, return_inverse=True, return_counts=True)
+        total = np.zeros(len(key), np.int64)
+        np.add.at(total, at, n)
+        parts.append(pa.table([pa.array(key // k), coded.dictionary.take(pa.array(key % k)), pa.array(total), pa.array(docs, pa.int64())],
+                              names=["group", "term", "n", "docs"]))
+    if len(parts) == 1:
+        return parts[0]
+    whole = _added(parts)
+    return whole.set_column(3, "docs", pa.array(np.ones(len(whole), np.int64)))
+
+
+def _added(parts: list[pa.Table]) -> pa.Table:
+    """Tables of ``_counted`` as one, each group and term once."""
+    if len(parts) == 1:
+        return parts[0]
+    got = pa.concat_tables(parts).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return pa.table([got["group"], got["term"], got["n_sum"], got["docs_sum"]], names=["group", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term; a row without term for each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences: dict[tuple, Counter] = {}
-        documents: dict[tuple, Counter] = {}
-
-        def flush():
-            rows = [(*g, t.decode("utf-8", "surrogatepass"), n, documents[g][t]) for g, c in occurrences.items() for t, n in c.items()]
-            rows += [(*g, None, 0, 0) for g in occurrences]
-            occurrences.clear()
-            documents.clear()
-            lang, source, term, n, d = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.string()),
-                 pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+        number: dict[tuple, int] = {}
+        parts: list[pa.Table] = []
+        held = 0
+
+        def rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            names = list(number)
+            lang, source = (pa.array([g[i] for g in names], pa.string()) for i in (0, 1))
+            whole = pa.table([pa.chunked_array([x.take(c) for c in t["group"].chunks], pa.string()) for x in (lang, source)]
+                             + [t["term"], t["n"], t["docs"]], names=["lang", "source", "term", "n", "docs"])
+            yield from whole.to_batches(max_chunksize=ROWS)
 
         for b in slices(batches, "t"):
-            for text, *group in zip(*(c.to_pylist() for c in b.columns)):
-                group = tuple(group)
-                count = occurrences.setdefault(group, Counter())
-                seen: set[bytes] = set()
-                for words in _words(text):
-                    count.update(words)
-                    seen.update(words)
-                documents.setdefault(group, Counter()).update(seen)
-            if sum(map(len, occurrences.values())) > HELD:
-                yield flush()
-        if occurrences:
-            yield flush()
+            group = np.array([number.setdefault(g, len(number)) for g in zip(*(b.column(i).to_pylist() for i in (1, 2)))], np.int64)
+            parts.append(_counted(b.column(0).cast(pa.string()), group))
+            held += len(parts[-1])
+            if held > 2 * HELD:
+                parts = [_added(parts)]
+                held = len(parts[0])
+                if held > HELD:
+                    yield from rows(parts.pop())
+                    held = 0
+        if parts:
+            yield from rows(_added(parts))
+        if number:
+            none = pa.nulls(len(number), pa.string())
+            zero = pa.array(np.zeros(len(number), np.int64))
+            yield from rows(pa.table([pa.array(range(len(number)), pa.int64()), none, zero, zero], names=["group", "term", "n", "docs"]))
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in
             ((text_col, "t"), (lang_col, "lang"), (source_col, "source"))]
@@ -233,7 +276,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     kept = stages.put(
         counts.where("term IS NOT NULL").select(
             "lang", "source", "term", "n", F.sum("n").over(one).alias("total"), F.sum("docs").over(one).alias("docs"),
-            (F.row_number().over(one.orderBy("source")) == 1).cast("long").alias("head")).where(F.col("docs") >= min_docs), "kept")
+            (F.min("source").over(one) == F.col("source")).cast("long").alias("head")).where(F.col("docs") >= min_docs), "kept")
     langs = kept.groupBy("lang").agg(F.sum("head").alias("terms"), F.sum("n").alias("of_lang"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("of_group"))
     groups = stages.put(
