@@ -49,8 +49,11 @@ def test_blocks_hold_the_features_of_the_rows(spark, monkeypatch, odd, entries,
     monkeypatch.setattr(BL, "TERMS", terms)
     monkeypatch.setattr(FE, "pack_words", lambda d, w: BL.pack_words(d, w, entries))
     monkeypatch.setattr(FE, "pack_rows", lambda d, v: BL.pack_rows(d, v, entries))
+    many = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(many, 4 if entries == 40 else 10_000)
     d = _docs(spark, odd)
     blocks = FE.block_tfidf(d, d.where("split = 'train'").count())
+    spark.conf.unset(many)
     want = sorted((r["doc_id"], r["label"], r["term"], round(r["tfidf"], 9)) for r in _long(d).collect() if r["doc_id"] is not None)
     assert sorted(x for x in blocks.rows.flatMap(_values).collect() if x[0] is not None) == want
     again = BL.Blocks(blocks.stored())
