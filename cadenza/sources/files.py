@@ -7,10 +7,20 @@ expressions right after the scan.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+from collections.abc import Iterator
+from fnmatch import fnmatchcase
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAPPING_COLUMNS = ["msd_id", "msd_artist", "msd_title", "mxm_id", "mxm_artist", "mxm_title"]
 MAPPING_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in MAPPING_COLUMNS])
 
@@ -87,14 +97,99 @@ def read_sep_mapping(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return parse_sep_lines(spark.read.text(path))
 
 
+#: Paths that a task hands on at a time, and bytes of contents.
+PATHS, CONTENTS = 4096, 4 << 20
+#: A glob that means the same to Hadoop and to ``fnmatch``, and paths without one.
+_PLAIN_GLOB, _GLOB = re.compile(r"[^\\{}\[\]^]*"), re.compile(r"[*?{}\[\]\\]")
+
+
+def _listed(base: str, glob: str | None) -> Iterator[tuple[str, bool]]:
+    """(path, whether it is a folder) of what lies in a folder and Spark's readers would look at; files as ``glob`` has them."""
+    with os.scandir(base) as found:
+        for e in found:
+            n = e.name
+            if n.startswith(".") or n.endswith("._COPYING_"):
+                continue
+            if n.startswith("_") and "=" not in n and not (n.startswith(("_metadata", "_common_metadata")) and e.is_dir()):
+                continue
+            if e.is_dir():
+                yield e.path, True
+            elif glob is None or fnmatchcase(n, glob):
+                yield e.path, False
+
+
+def _paths(paths: Iterator[tuple[str, bool]]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[str, bool]] = []
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([d for _, d in held], pa.bool_())],
+                                          names=["path", "folder"])
+
+    for x in paths:
+        held.append(x)
+        if len(held) >= PATHS:
+            yield out()
+            held.clear()
+    yield out()
+
+
+def _local_files(spark: SparkSession, base: str, glob: str) -> DataFrame:
+    """``(path, content)`` of the files below a folder on a local or mounted disk, which the tasks list and read.
+
+    One task reads the names in the folder itself, many walk what is below its folders, and the paths are dealt anew before they are read:
+    no list of the files is ever whole in a place, and a task holds ``PATHS`` names and ``CONTENTS`` bytes, or one file."""
+
+    def top(batches):
+        for b in batches:
+            yield from _paths(x for _ in range(b.num_rows) for x in _listed(base, glob))
+
+    def below(batches):
+        def walk(path):
+            for p, folder in _listed(path, glob):
+                if folder:
+                    yield from walk(p)
+                else:
+                    yield p, False
+
+        for b in batches:
+            yield from _paths(x for p, folder in zip(*(c.to_pylist() for c in b.columns)) for x in (walk(p) if folder else [(p, False)]))
+
+    def read(batches):
+        for b in batches:
+            paths, held, size = b.column(0).to_pylist(), [], 0
+            for i, p in enumerate(paths):
+                with open(p, "rb") as f:
+                    data = f.read()
+                if data:  # Spark's readers skip empty files
+                    held.append((f"file:{p}", data))
+                    size += len(data)
+                if size >= CONTENTS or i + 1 == len(paths):
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in held], pa.string()), pa.array([x for _, x in held], pa.binary())],
+                                                      names=["path", "content"])
+                    held, size = [], 0
+
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (spark.range(0, 1, 1, 1).mapInArrow(top, "path string, folder boolean").repartition(parts, "path")
+            .mapInArrow(below, "path string, folder boolean").repartition(parts, "path").select("path")
+            .mapInArrow(read, "path string, content binary"))
+
+
 def read_text_corpus(spark: SparkSession, path: str, glob: str = "*.txt",
                      name_pattern: str = r"([^/]+)\.[^./]+$") -> DataFrame:
     """One text file per song -> ``(lyrics_filename, lyrics, encoding)``.
 
     A UTF-16 byte-order mark selects UTF-16; otherwise valid UTF-8 is
-    decoded as UTF-8; anything else gives NULL lyrics and encoding 'none'."""
-    raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-           .option("recursiveFileLookup", True).load(path))
+    decoded as UTF-8; anything else gives NULL lyrics and encoding 'none'.
+
+    On a local or mounted disk the tasks list the files, as the driver's list of them would grow with the corpus; other
+    file systems, and globs beyond ``*`` and ``?``, take Spark's reader, whose list the driver holds."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file" and not _GLOB.search(path) and _PLAIN_GLOB.fullmatch(glob) and fs.exists(root) and fs.getFileStatus(root).isDirectory():
+        raw = _local_files(spark, fs.makeQualified(root).toUri().getPath(), glob)
+    else:
+        raw = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+               .option("recursiveFileLookup", True).load(path))
     head = F.hex(F.substring("content", 1, 2))
     as_str = F.col("content").cast("string")
     enc = (F.when(head.isin("FFFE", "FEFF"), F.lit("utf-16"))
